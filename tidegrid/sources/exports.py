@@ -1,8 +1,8 @@
 """Manually exported delimiter-separated files → canonical series.
 
-One job reads every file: lines arrive as text with their file name, each
-file's first line is its header, and all later decisions (delimiter, zone,
-data type, column positions) are column expressions on (line, header, file).
+One job reads every file: lines arrive as text with their file name. What
+depends on a file only (header, delimiter, data type, column positions) is
+worked out once per file and joined to its lines, which then need one split.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.time import to_utc
 from tidegrid.operators.align import dedup
-from tidegrid.operators.screen import parse_number
 
 # Area code → zone, in order of precedence.
 AREA_MAP = {
@@ -52,245 +51,213 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.trim("value") != "")
 
 
-def with_headers(lines: DataFrame) -> DataFrame:
-    """Data lines as arrays: ``file, line_no, header, cells``.
+def _cells(text: Column, delimiter: Column) -> Column:
+    """A line cut at its delimiter outside double quotes, quotes removed."""
+    out = F.array(text)
+    for d in DELIMITERS:
+        parts = F.split(text, f'{d}(?=(?:[^"]*"[^"]*")*[^"]*$)')
+        out = F.when(delimiter == d, parts).otherwise(out)
+    return F.transform(out, lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
 
-    The header of a file is a min-by aggregate (one row per file), joined back
-    by file name; Spark picks broadcast or shuffle by its measured size.
-    """
-    heads = lines.groupBy("file").agg(F.min_by("value", "line_no").alias("_head"))
-
-    def cells(text: Column, delimiter: str) -> Column:
-        outside_quotes = f'{delimiter}(?=(?:[^"]*"[^"]*")*[^"]*$)'
-        return F.transform(
-            F.split(text, outside_quotes), lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")
-        )
 
-    def by_delimiter(text: Column) -> Column:
-        out = F.array(text)
-        for d in reversed(DELIMITERS):
-            out = F.when(F.col("_head").contains(d), cells(text, d)).otherwise(out)
-        return out
+def _position(test: str) -> Column:
+    """1-based position of the first header ``h`` for which ``test`` holds."""
+    return F.expr(f"nullif(array_position(transform(lowered, h -> {test}), true), 0)")
 
-    return (
-        lines.join(heads, "file")
-        .where(F.col("value") != F.col("_head"))
-        .select(
-            "file",
-            "line_no",
-            by_delimiter(F.col("_head")).alias("header"),
-            by_delimiter(F.col("value")).alias("cells"),
-        )
-    )
 
-
-def _cell(position: Column) -> Column:
-    """The cell at a 1-based header position; 0, NULL or a short line → NULL."""
-    return F.try_element_at("cells", F.nullif(position.cast("int"), F.lit(0)))
+def _last_position(test: str) -> Column:
+    flags = f"reverse(transform(lowered, h -> {test}))"
+    return F.expr(f"size(lowered) + 1 - nullif(array_position({flags}, true), 0)")
 
 
 def _named(name: str) -> Column:
-    return _cell(F.array_position("header", name))
+    return F.expr(f"nullif(array_position(header, '{name}'), 0)")
 
 
-def _first_header(matches) -> Column:
-    """1-based position of the first header for which ``matches(lower)`` holds."""
-    flags = F.transform("header", lambda h: matches(F.lower(h)))
-    return F.nullif(F.array_position(flags, True), F.lit(0))
+_OFFSHORE = "(contains(h, 'offshore') AND contains(h, 'wind'))"
+_ONSHORE = f"""(NOT {_OFFSHORE} AND contains(h, 'wind') AND (contains(h, 'onshore')
+  OR contains(h, 'forecast') OR contains(h, 'generation')))"""
+_SOLAR = f"""(NOT {_OFFSHORE} AND NOT {_ONSHORE}
+  AND (contains(h, 'solar') OR contains(h, 'photovoltaic')))"""
 
 
-def _last_header(matches) -> Column:
-    flags = F.reverse(F.transform("header", lambda h: matches(F.lower(h))))
-    found = F.nullif(F.array_position(flags, True), F.lit(0))
-    return F.size("header") - found + 1
+def _any(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-def _area_dim() -> Column:
-    pairs = []
-    for code, zone in AREA_MAP.items():
-        pairs += [F.lit(code), F.lit(zone)]
-    return F.create_map(*pairs)
+def _zone_hits() -> str:
+    """SQL array of the zones whose area code occurs in the file name."""
+    return "array(" + ", ".join(
+        f"CASE WHEN contains(upper(file), '{code}') THEN '{zone}' END"
+        for code, zone in AREA_MAP.items()
+    ) + ")"
 
 
-def zone_from_file(file: Column) -> Column:
-    """First known area code contained in the file name."""
-    name = F.upper(file)
-    hits = [
-        F.when(name.contains(code.upper().replace("|", "_")) | name.contains(code.upper()),
-               F.lit(zone))
+def zone_from_file() -> Column:
+    """First known area code contained in ``file``; a ``|`` may read ``_``."""
+    hits = ", ".join(
+        f"CASE WHEN {_any('upper(file)', {code, code.replace('|', '_')})} THEN '{zone}' END"
         for code, zone in AREA_MAP.items()
-    ]
-    return F.coalesce(*hits)
+    )
+    return F.expr(f"coalesce({hits})")
 
 
-def detect_zone() -> Column:
-    """Zone of a line: by area column when its code is known, else file name."""
-    by_area = [F.try_element_at(_area_dim(), _named(c)) for c in AREA_COLUMNS]
-    return F.coalesce(*by_area, zone_from_file(F.col("file")))
+def flow_zones() -> Column:
+    """Known area codes in a flow file's name, in the order of the area table:
+    the first is the from zone and the last the to zone."""
+    return F.expr(f"filter({_zone_hits()}, z -> z IS NOT NULL)")
 
 
 def detect_data_type() -> Column:
     """Data type of a file from its name and headers."""
-    name = F.lower("file")
+    name = "lower(file)"
+
+    def header(*words: str) -> str:
+        return f"exists(lowered, h -> {_any('h', words)})"
+
+    return F.expr(
+        f"""CASE WHEN {_any(name, ["price"])} OR {header("price")} THEN 'prices'
+                 WHEN {_any(name, ["generation", "wind", "solar"])} THEN 'generation'
+                 WHEN {_any(name, ["load"])} THEN 'load'
+                 WHEN {_any(name, ["flow", "physical"])} THEN 'flow'
+                 WHEN {header("day-ahead")} THEN 'prices'
+                 WHEN {header("wind", "solar")} THEN 'generation'
+                 WHEN {header("load")} THEN 'load'
+                 ELSE 'unknown' END"""
+    )
 
-    def any_header(*words: str) -> Column:
-        def hit(h: Column) -> Column:
-            low = F.lower(h)
-            out = low.contains(words[0])
-            for w in words[1:]:
-                out = out | low.contains(w)
-            return out
 
-        return F.exists("header", hit)
+def file_facts(lines: DataFrame) -> DataFrame:
+    """One row per file: header line, delimiter, data type, column positions."""
+    heads = lines.groupBy("file").agg(F.min_by("value", "line_no").alias("head"))
+    mark = F.lit(None).cast("string")
+    for d in reversed(DELIMITERS):
+        mark = F.when(F.col("head").contains(d), F.lit(d)).otherwise(mark)
+    cut = heads.withColumn("delimiter", F.coalesce(mark, F.lit(","))).withColumn(
+        "header", _cells(F.col("head"), F.col("delimiter"))
+    )
+    lowered = cut.withColumn("lowered", F.transform("header", F.lower))
+    return lowered.withColumn("pair", flow_zones()).select(
+        "file",
+        "head",
+        "delimiter",
+        detect_data_type().alias("data_type"),
+        zone_from_file().alias("file_zone"),
+        F.expr("get(pair, 0)").alias("from_zone"),
+        F.expr("CASE WHEN size(pair) > 1 THEN element_at(pair, -1) END").alias("to_zone"),
+        F.array(*[_named(c) for c in AREA_COLUMNS]).alias("area_at"),
+        _position("contains(h, 'mtu')").alias("mtu_at"),
+        _named("Date").alias("date_at"),
+        _named("Time").alias("clock_at"),
+        F.coalesce(*[_named(c) for c in TIME_COLUMNS]).alias("time_at"),
+        _position(_any("h", ["price", "day-ahead"])).alias("price_at"),
+        _position(_any("h", ["load", "forecast"])).alias("load_at"),
+        _position("contains(h, 'flow') OR h RLIKE '[0-9]'").alias("flow_at"),
+        _last_position(_ONSHORE).alias("wind_onshore_mw_at"),
+        _last_position(_OFFSHORE).alias("wind_offshore_mw_at"),
+        _last_position(_SOLAR).alias("solar_mw_at"),
+    )
 
-    def in_name(*words: str) -> Column:
-        out = name.contains(words[0])
-        for w in words[1:]:
-            out = out | name.contains(w)
-        return out
 
-    return (
-        F.when(in_name("price") | any_header("price"), "prices")
-        .when(in_name("generation", "wind", "solar"), "generation")
-        .when(in_name("load"), "load")
-        .when(in_name("flow", "physical"), "flow")
-        .when(any_header("day-ahead"), "prices")
-        .when(any_header("wind", "solar"), "generation")
-        .when(any_header("load"), "load")
-        .otherwise("unknown")
+def _cell(position: str) -> str:
+    """SQL for the cell at a 1-based position; NULL or a short line → NULL."""
+    return f"get(cells, CAST({position} AS INT) - 1)"
+
+
+def split_lines(lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """Data lines with their file's facts and ``cells``. Spark picks broadcast
+    or shuffle for the per-file side by its measured size."""
+    joined = lines.join(facts, "file").where(F.col("value") != F.col("head"))
+    return joined.withColumn("cells", _cells(F.col("value"), F.col("delimiter"))).drop(
+        "value", "head", "delimiter"
     )
 
 
-def parse_export_time(text: Column, source_tz: str) -> Column:
+def detect_zone() -> Column:
+    """Zone of a line: by area column when its code is known, else file name."""
+    known = "map(" + ", ".join(f"'{code}', '{zone}'" for code, zone in AREA_MAP.items()) + ")"
+    by_area = ", ".join(
+        f"try_element_at({known}, {_cell(f'get(area_at, {i})')})" for i in range(len(AREA_COLUMNS))
+    )
+    return F.expr(f"coalesce({by_area}, file_zone)")
+
+
+def parse_export_time(text: str, source_tz: str) -> Column:
     """UTC wall clock of an exported time: range start, day first."""
-    start = F.trim(F.split(text, " - ").getItem(0))
-    local = F.coalesce(
-        *[F.try_to_timestamp(start, F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMATS]
+    start = f"trim(split({text}, ' - ')[0])"
+    quoted = [f.replace("'", "\\'") for f in TIME_FORMATS]
+    tried = ", ".join(
+        f"CAST(try_to_timestamp({start}, '{f}') AS TIMESTAMP_NTZ)" for f in quoted
     )
-    return to_utc(local, source_tz)
+    return to_utc(F.expr(f"coalesce({tried})"), source_tz)
 
 
-def _time_text() -> Column:
-    mtu = _cell(_first_header(lambda h: h.contains("mtu")))
-    date_and_time = F.when(
-        _named("Date").isNotNull() & _named("Time").isNotNull(),
-        F.concat_ws(" ", _named("Date"), _named("Time")),
+def _time_text() -> str:
+    two_columns = f"concat_ws(' ', {_cell('date_at')}, {_cell('clock_at')})"
+    return (
+        f"coalesce({_cell('mtu_at')}, CASE WHEN clock_at IS NOT NULL THEN {two_columns} END, "
+        f"{_cell('time_at')})"
     )
-    return F.coalesce(mtu, date_and_time, *[_named(c) for c in TIME_COLUMNS])
 
 
-def flow_zones(file: Column) -> tuple[Column, Column]:
-    """From and to zone of a flow file: the first and the last known area code
-    in its name, in the order of the area table."""
-    name = F.upper(file)
-    hits = F.array(
-        *[F.when(name.contains(code.upper()), F.lit(zone)) for code, zone in AREA_MAP.items()]
+def classified(lines: DataFrame, source_tz: str, data_type: str | None = None) -> DataFrame:
+    """Every data line with its zone, data type and UTC time; lines of other
+    data types drop out at the per-file join."""
+    facts = file_facts(lines)
+    if data_type is not None:
+        facts = facts.where(F.col("data_type") == data_type)
+    return split_lines(lines, facts).withColumns(
+        {"zone": detect_zone(), "ts_utc": parse_export_time(_time_text(), source_tz)}
     )
-    found = F.filter(hits, lambda z: z.isNotNull())
-    return F.get(found, F.lit(0)), F.when(F.size(found) > 1, F.element_at(found, -1))
-
-
-def classified(lines: DataFrame, source_tz: str) -> DataFrame:
-    """Every data line with its zone, data type and UTC time."""
-    return with_headers(lines).withColumns(
-        {
-            "zone": detect_zone(),
-            "data_type": detect_data_type(),
-            "ts_utc": parse_export_time(_time_text(), source_tz),
-        }
+
+
+def _value(position: str) -> Column:
+    """Number in the named column, else the first cell that reads as one."""
+    numbers = "filter(cells, c -> try_cast(c AS DOUBLE) IS NOT NULL)"
+    return F.expr(
+        f"try_cast(CASE WHEN {position} IS NOT NULL THEN {_cell(position)} "
+        f"ELSE get({numbers}, 0) END AS DOUBLE)"
     )
 
 
-def parse_exports(lines: DataFrame, source_tz: str, source: str = "entsoe") -> dict[str, DataFrame]:
-    """Canonical tables from exported lines, last line of an hour winning.
+KINDS = ("wind_onshore_mw", "wind_offshore_mw", "solar_mw")
 
-    Keys: ``day_ahead_prices``, ``wind_solar_forecast``, ``load_forecast`` and
-    ``flow``. Lines without a known zone or readable time are left out.
-    """
-    rows = classified(lines, source_tz).where(
-        F.col("zone").isNotNull() & F.col("ts_utc").isNotNull()
-    )
 
-    def value(*words: str) -> Column:
-        """First header containing a word, else the first numeric-looking cell."""
-
-        def hit(h: Column) -> Column:
-            out = h.contains(words[0])
-            for w in words[1:]:
-                out = out | h.contains(w)
-            return out
-
-        by_name = _cell(_first_header(hit))
-        numbers = F.filter("cells", lambda c: c.try_cast("double").isNotNull())
-        named = _first_header(hit).isNotNull()
-        return parse_number(F.when(named, by_name).otherwise(F.get(numbers, F.lit(0))))
-
-    def single(data_type: str, name: str, *words: str) -> DataFrame:
-        picked = rows.where(F.col("data_type") == data_type).select(
-            F.lit(source).alias("source"), "zone", "ts_utc", value(*words).alias(name), "line_no",
-            "file",
-        )
-        return _last(picked.where(F.col(name).isNotNull()), ["source", "zone", "ts_utc"], [name])
-
-    def wind_header(kind: str):
-        if kind == "wind_offshore_mw":
-            return lambda h: h.contains("offshore") & h.contains("wind")
-        if kind == "wind_onshore_mw":
-            return lambda h: ~(h.contains("offshore") & h.contains("wind")) & (
-                (h.contains("onshore") & h.contains("wind"))
-                | (h.contains("wind") & (h.contains("forecast") | h.contains("generation")))
-            )
-        return lambda h: ~(
-            h.contains("wind")
-            & (h.contains("offshore") | h.contains("onshore") | h.contains("forecast")
-               | h.contains("generation"))
-        ) & (h.contains("solar") | h.contains("photovoltaic"))
-
-    kinds = ("wind_onshore_mw", "wind_offshore_mw", "solar_mw")
-    generation = rows.where(F.col("data_type") == "generation").select(
-        F.lit(source).alias("source"), "zone", "ts_utc",
-        *[
-            F.when(
-                _last_header(wind_header(k)).isNotNull(),
-                parse_number(_cell(_last_header(wind_header(k)))),
-            ).otherwise(F.lit(0.0)).alias(k)
-            for k in kinds
-        ],
-        "line_no", "file",
-    )
+def import_table(
+    lines: DataFrame, datatype: str, source_tz: str, source: str = "entsoe"
+) -> DataFrame:
+    """One canonical table from exported lines, last line of an hour winning.
 
-    def flow_hit(h: Column) -> Column:
-        return h.contains("flow") | h.rlike(r"\d")
-
-    flow_from, flow_to = flow_zones(F.col("file"))
-    flow_value = parse_number(_cell(_first_header(flow_hit)))
-    flow = (
-        rows.where(F.col("data_type") == "flow")
-        .select(
-            F.lit(source).alias("source"),
-            flow_from.alias("from_zone"),
-            flow_to.alias("to_zone"),
-            "ts_utc",
-            flow_value.alias("flow_mw"),
-            "line_no",
-            "file",
-        )
-        .where(F.col("to_zone").isNotNull() & F.col("flow_mw").isNotNull())
+    ``datatype`` is ``day_ahead_prices``, ``wind_solar_forecast``,
+    ``load_forecast`` or ``flow``. Lines without a known zone or readable time
+    are left out; rows whose value does not read as a number too, except that a
+    wind/solar series absent from the header is 0.
+    """
+    file_type, values = {
+        "day_ahead_prices": ("prices", {"price_eur_mwh": _value("price_at")}),
+        "load_forecast": ("load", {"load_mw": _value("load_at")}),
+        "flow": ("flow", {"flow_mw": _value("flow_at")}),
+        "wind_solar_forecast": ("generation", {k: _kind(k) for k in KINDS}),
+    }[datatype]
+    keys = ["from_zone", "to_zone", "ts_utc"] if datatype == "flow" else ["zone", "ts_utc"]
+    rows = classified(lines, source_tz, file_type).where("zone IS NOT NULL")
+    picked = rows.select(
+        F.lit(source).alias("source"), *keys, *[c.alias(n) for n, c in values.items()],
+        F.struct("file", "line_no").alias("_seq"),
     )
-    return {
-        "day_ahead_prices": single("prices", "price_eur_mwh", "price", "day-ahead"),
-        "wind_solar_forecast": _last(generation, ["source", "zone", "ts_utc"], list(kinds)),
-        "load_forecast": single("load", "load_mw", "load", "forecast"),
-        "flow": _last(flow, ["source", "from_zone", "to_zone", "ts_utc"], ["flow_mw"]),
-    }
+    needed = keys if datatype == "wind_solar_forecast" else [*keys, *values]
+    whole = picked.na.drop(subset=needed)
+    return dedup(whole, "_seq", "last", ["source", *keys]).drop("_seq")
 
 
-def _last(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Files in name order, later files and lines replacing earlier ones."""
-    ordered = df.withColumn("_seq", F.struct("file", "line_no"))
-    return dedup(ordered.select(*keys, *values, "_seq"), "_seq", "last", keys).drop("_seq")
+def _kind(name: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {name}_at IS NULL THEN 0D ELSE try_cast({_cell(name + '_at')} AS DOUBLE) END"
+    )
 
 
 def import_exports(spark: SparkSession, path: str, source_tz: str) -> dict[str, DataFrame]:
     """All exported files under ``path`` as canonical tables."""
-    return parse_exports(read_lines(spark, path), source_tz)
+    lines = read_lines(spark, path)
+    names = ("day_ahead_prices", "wind_solar_forecast", "load_forecast", "flow")
+    return {name: import_table(lines, name, source_tz) for name in names}

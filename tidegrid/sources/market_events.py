@@ -41,7 +41,7 @@ def cents(value: Column | str) -> Column:
 
 
 def share_key() -> Column:
-    """The integer in ``props``, 0 … 99; splits events over sources and plants."""
+    """The integer in ``props``, 0 … 99; splits events over plant types."""
     return F.get_json_object("props", "$.k").cast("int")
 
 
@@ -50,7 +50,8 @@ def events(spark: SparkSession, sf_dir: str, zone: str = "event_type") -> DataFr
 
 
 def source_of() -> Column:
-    return F.when(share_key() < 50, "energinet").otherwise("entsoe")
+    """Which source delivered an event: by the half minute it falls into."""
+    return F.when(F.second("ts") < 30, "energinet").otherwise("entsoe")
 
 
 def _hourly_price(rows: DataFrame, *keys: str) -> DataFrame:
@@ -87,6 +88,15 @@ def wind_solar(spark: SparkSession, sf_dir: str, zone: str = "event_type") -> Da
     )
 
 
+def wind_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Onshore wind per source; NULL where a source saw none in an hour."""
+    return (
+        events(spark, sf_dir)
+        .groupBy(source_of().alias("source"), "zone", hour_floor("ts").alias("ts_utc"))
+        .agg((F.sum(F.when(share_key() < 34, cents("value"))) / 10.0).alias("wind_onshore_mw"))
+    )
+
+
 def load(spark: SparkSession, sf_dir: str, zone: str = "event_type") -> DataFrame:
     return (
         events(spark, sf_dir, zone)
