@@ -18,6 +18,23 @@ PRIORITY = ("energinet", "entsoe")
 EVENT_ZONES = ["click", "error", "purchase", "signup", "view"]
 
 
+def registry():
+    """Fresh query and SQL tables with the decorator that fills them."""
+    queries: dict = {}
+    statements: dict = {}
+
+    def query(name: str, statement: str | None = None):
+        def register(fn):
+            queries[name] = fn
+            if statement is not None:
+                statements[name] = statement
+            return fn
+
+        return register
+
+    return queries, statements, query
+
+
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     """Round the named columns, or every double column when none is named."""
     doubles = names or [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entries.base import PRICE, PRIORITY, WIND, results, rounded, sql, summary_sql
+from entries.base import PRICE, PRIORITY, WIND, registry, results, rounded, sql, summary_sql
 from tidegrid.functions.time import hour_no, hour_ts, to_local
 from tidegrid.operators.align import pick_source, zone_sources
 from tidegrid.operators.screen import price_screen
@@ -13,18 +13,7 @@ from tidegrid.session import staging_path
 from tidegrid.sources import dims, exports, records, store
 from tidegrid.sources import market_events as market
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(name: str, statement: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if statement is not None:
-            SQL[name] = statement
-        return fn
-
-    return register
+QUERIES, SQL, query = registry()
 
 
 # ------------------------------------------------------------ stored series
