@@ -45,7 +45,7 @@ def _(spark, d):
   price_rolling_24h_max FROM {_LAGS}""",
         "g",
         "price_rolling_7d_mean price_rolling_7d_std",
-        places=8,
+        places=9,
     ),
 )
 def _(spark, d):
@@ -53,7 +53,7 @@ def _(spark, d):
         "zone", "ts_utc", "price_rolling_7d_mean", "price_rolling_7d_std",
         "price_rolling_24h_min", "price_rolling_24h_max",
     )
-    return rounded(made, "price_rolling_7d_mean", "price_rolling_7d_std", places=8)
+    return rounded(made, "price_rolling_7d_mean", "price_rolling_7d_std", places=9)
 
 
 @query(
@@ -212,13 +212,13 @@ _MATRIX_DOUBLES = (
 
 @query(
     "e15_feature_matrix",
-    sql(_matrix_sql(), "g hrs ws act l", _MATRIX_DOUBLES, places=8),
+    sql(_matrix_sql(), "g hrs ws act l", _MATRIX_DOUBLES, places=9),
 )
 def _(spark, d):
     matrix = features.feature_matrix(
         market.prices(spark, d), market.load(spark, d), market.wind_solar(spark, d)
     )
-    return rounded(matrix, *_MATRIX_DOUBLES.split(), places=8)
+    return rounded(matrix, *_MATRIX_DOUBLES.split(), places=9)
 
 
 @query(
@@ -230,7 +230,7 @@ FROM ({_matrix_sql("wind_forecast_error_lag1,")}) m
 LEFT JOIN (SELECT * FROM {_FLOWS} WHERE from_zone = 'click') f ON f.ts_utc = m.ts_utc""",
         "g hrs ws act l edges",
         _MATRIX_DOUBLES + " wind_forecast_error_lag1 util_click_view_pct",
-        places=8,
+        places=9,
     ),
 )
 def _(spark, d):
@@ -244,7 +244,7 @@ def _(spark, d):
         flow_labels=[("click", "view")],
     )
     names = _MATRIX_DOUBLES.split() + ["wind_forecast_error_lag1", "util_click_view_pct"]
-    return rounded(matrix, *names, places=8)
+    return rounded(matrix, *names, places=9)
 
 
 @query(
@@ -259,13 +259,13 @@ def _(spark, d):
 FROM (SELECT *, ts_utc + INTERVAL 1 HOUR AS t FROM {_LAGS} WHERE price_eur_mwh IS NOT NULL)""",
         "g",
         "price_rolling_7d_mean price_rolling_7d_std hour_sin hour_cos weekday_sin weekday_cos",
-        places=8,
+        places=9,
     ),
 )
 def _(spark, d):
     matrix = features.feature_matrix(market.prices(spark, d))
     names = "price_rolling_7d_mean price_rolling_7d_std hour_sin hour_cos weekday_sin weekday_cos"
-    return rounded(matrix, *names.split(), places=8)
+    return rounded(matrix, *names.split(), places=9)
 
 
 _COMPLETE = """price_lag_1d IS NOT NULL AND price_lag_2d IS NOT NULL AND price_lag_7d IS NOT NULL

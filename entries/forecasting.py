@@ -1,2 +1,257 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Splits, learners, scoring and walk-forward forecasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from entries.base import PRICE, grid, predictions, registry, rounded, sql, with_baseline
+from tidegrid.functions.time import local_date
+from tidegrid.operators import features, forecast, trading
+from tidegrid.operators.blocks import trailing
+from tidegrid.sources import market_events as market
+
+QUERIES, SQL, query = registry()
+
+MODEL_FEATURES = [
+    "price_lag_1d", "price_rolling_7d_mean", "price_rolling_7d_std", "hour_sin", "hour_cos",
+    "weekday_sin", "weekday_cos", "is_weekend", "is_holiday", "residual_load_mw", "load_mw",
+    "wind_total_mw", "wind_capacity_factor", "solar_mw",
+]
+
+
+def _matrix(spark, d, zone: str = "event_type"):
+    matrix = features.feature_matrix(
+        market.prices(spark, d, zone), market.load(spark, d, zone),
+        market.wind_solar(spark, d, zone),
+    ).select("zone", "ts_utc", PRICE, *MODEL_FEATURES)
+    return features.model_rows(matrix)
+
+
+def _split(spark, d):
+    return forecast.temporal_split(_matrix(spark, d))
+
+
+@query(
+    "g01_temporal_split",
+    sql(
+        """SELECT zone, ts_utc, row_number() OVER (PARTITION BY zone ORDER BY ts_utc) - 1
+  < floor(count(*) OVER (PARTITION BY zone) * 0.7e0) AS is_train FROM p""",
+        "p",
+    ),
+)
+def _(spark, d):
+    return forecast.temporal_split(market.prices(spark, d)).select("zone", "ts_utc", "is_train")
+
+
+@query("g02_boosted_trees")
+def _(spark, d):
+    rows = _split(spark, d)
+    model = forecast.fit_gbt(rows.where("is_train"), PRICE, MODEL_FEATURES)
+    scored = forecast.score(model, rows.where(~F.col("is_train")), MODEL_FEATURES)
+    return scored.select("zone", "ts_utc", F.col(PRICE).alias("actual_price"), "predicted_price")
+
+
+@query("g05_feature_importance")
+def _(spark, d):
+    rows = _split(spark, d)
+    model = forecast.fit_gbt(rows.where("is_train"), PRICE, MODEL_FEATURES)
+    return forecast.importance(model, rows, MODEL_FEATURES)
+
+
+@query("g03_g04_per_hour_ridge")
+def _(spark, d):
+    rows = _split(spark, d)
+    models = forecast.fit_ridge_per_hour(rows.where("is_train"), PRICE, MODEL_FEATURES)
+    scored = forecast.predict_per_hour(models, rows.where(~F.col("is_train")), MODEL_FEATURES)
+    return scored.select("zone", "ts_utc", F.col(PRICE).alias("actual_price"), "predicted_price")
+
+
+def _ridge(slope: str = "m.slope", icpt_x: str = "m.mx", icpt_y: str = "m.my") -> str:
+    """One-feature ridge on standardised x with penalty 1: slope·n/(n + 1)."""
+    beta = f"({slope} * m.n / (m.n + 1e0))"
+    return f"{icpt_y} - {beta} * {icpt_x} + {beta}"
+
+
+_REGRESSION = """count(*) AS n, avg(x) AS mx, avg(y) AS my,
+  coalesce(covar_pop(x, y) / nullif(var_pop(x), 0), 0) AS slope"""
+
+
+@query(
+    "g03_g04_per_hour_single_feature",
+    sql(
+        f"""WITH s AS (SELECT zone, ts_utc, hour, predicted_price AS x, actual_price AS y,
+  row_number() OVER (PARTITION BY zone ORDER BY ts_utc) - 1
+    < floor(count(*) OVER (PARTITION BY zone) * 0.7e0) AS is_train FROM pred)
+SELECT s.zone, s.ts_utc, coalesce({_ridge()} * s.x, 0) AS predicted_price
+FROM s LEFT JOIN (SELECT zone, hour, {_REGRESSION} FROM s WHERE is_train GROUP BY zone, hour
+                  HAVING count(*) >= 10) m ON m.zone = s.zone AND m.hour = s.hour
+WHERE NOT s.is_train""",
+        "pred",
+        "predicted_price",
+    ).replace("WITH s AS", ", s AS", 1),
+)
+def _(spark, d):
+    rows = forecast.temporal_split(
+        predictions(spark, d).withColumnRenamed("predicted_price", "yesterday")
+    )
+    models = forecast.fit_ridge_per_hour(rows.where("is_train"), "actual_price", ["yesterday"])
+    scored = forecast.predict_per_hour(models, rows.where(~F.col("is_train")), ["yesterday"])
+    return rounded(scored.select("zone", "ts_utc", "predicted_price"))
+
+
+_METRICS = """avg(abs(actual_price - {p})) AS mae, sqrt(avg((actual_price - {p}) * (actual_price - {p})))
+    AS rmse,
+  coalesce(100 * avg(abs(actual_price - {p}) / nullif((abs(actual_price) + abs({p})) / 2, 0)), 0)
+    AS smape, count(*) AS n_samples"""
+
+
+@query(
+    "g06_error_metrics",
+    sql(
+        f"SELECT zone, {_METRICS.format(p='predicted_price')} FROM pred GROUP BY zone",
+        "pred",
+        "mae rmse smape",
+    ),
+)
+def _(spark, d):
+    return rounded(forecast.evaluate(predictions(spark, d), "actual_price", "predicted_price"))
+
+
+@query(
+    "g07_evaluation_report",
+    sql(
+        f"""SELECT zone, hour, {_METRICS.format(p='predicted_price')} FROM pred
+GROUP BY GROUPING SETS ((zone), (zone, hour))""",
+        "pred",
+        "mae rmse smape",
+    ),
+)
+def _(spark, d):
+    return rounded(
+        forecast.evaluation_report(predictions(spark, d), "actual_price", "predicted_price")
+    )
+
+
+@query(
+    "g08_rank_correlation",
+    sql(
+        """SELECT zone, avg(r) AS corr_f, count(r) AS n_days FROM (
+  SELECT zone, local_date, CASE WHEN count(*) >= 12 THEN
+      covar_samp(ra, rp) / nullif(stddev_samp(ra) * stddev_samp(rp), 0) END AS r
+  FROM (SELECT zone, local_date,
+          rank() OVER (PARTITION BY zone, local_date ORDER BY actual_price)
+            + (count(*) OVER (PARTITION BY zone, local_date, actual_price) - 1) / 2e0 AS ra,
+          rank() OVER (PARTITION BY zone, local_date ORDER BY predicted_price)
+            + (count(*) OVER (PARTITION BY zone, local_date, predicted_price) - 1) / 2e0 AS rp
+        FROM pred) GROUP BY zone, local_date) GROUP BY zone""",
+        "pred",
+        "corr_f",
+    ),
+)
+def _(spark, d):
+    return rounded(
+        forecast.rank_correlation(predictions(spark, d), "actual_price", "predicted_price")
+    )
+
+
+_SIDES = {"model": "predicted_price", "baseline": "baseline"}
+_NAMES = ("mae", "rmse", "smape")
+
+
+def _side(side: str) -> str:
+    text = _METRICS.format(p=_SIDES[side]).replace(", count(*) AS n_samples", "")
+    for n in _NAMES:
+        text = text.replace(f"AS {n}", f"AS {n}_{side}")
+    return text
+
+
+@query(
+    "g09_skill_against_baseline",
+    sql(
+        "SELECT *, "
+        + ", ".join(
+            f"({n}_baseline - {n}_model) / nullif({n}_baseline, 0) * 100 AS {n}_improvement_pct"
+            for n in _NAMES
+        )
+        + f" FROM (SELECT zone, {_side('model')}, {_side('baseline')} FROM pb GROUP BY zone)",
+        "pb",
+        " ".join(f"{n}_{s}" for n in _NAMES for s in ("model", "baseline", "improvement_pct")),
+    ),
+)
+def _(spark, d):
+    return rounded(
+        forecast.skill(with_baseline(spark, d), "actual_price", "predicted_price", "baseline")
+    )
+
+
+@query(
+    "g10_winner_by_hour",
+    sql(
+        """SELECT *, CASE WHEN mae_single < mae_per_hour THEN 'Single' ELSE 'Per-Hour' END AS winner
+FROM (SELECT zone, hour, avg(abs(actual_price - predicted_price)) AS mae_single,
+        avg(abs(actual_price - baseline)) AS mae_per_hour FROM pb GROUP BY zone, hour)""",
+        "pb",
+        "mae_single mae_per_hour",
+    ),
+)
+def _(spark, d):
+    return rounded(
+        forecast.hourly_winner(
+            with_baseline(spark, d), "actual_price", "predicted_price", "baseline"
+        )
+    )
+
+
+@query("g11_walk_forward")
+def _(spark, d):
+    return forecast.walk_forward(_matrix(spark, d), PRICE, MODEL_FEATURES, window_days=7)
+
+
+_FOLDS = """(SELECT DISTINCT zone, local_date AS fold
+  FROM (SELECT *, min(local_date) OVER (PARTITION BY zone) AS first FROM pred)
+  WHERE local_date >= first + 7)"""
+
+
+@query(
+    "g11_walk_forward_window_mean",
+    sql(
+        f"""SELECT p.zone, p.ts_utc, p.local_date, m.my AS predicted_price, p.actual_price
+FROM pred p JOIN (SELECT f.zone, fold, avg(actual_price) AS my FROM {_FOLDS} f
+  JOIN pred r ON r.zone = f.zone AND r.local_date < fold AND r.local_date >= fold - 7
+  GROUP BY f.zone, fold HAVING count(*) >= 48) m ON m.zone = p.zone AND m.fold = p.local_date""",
+        "pred",
+        "predicted_price",
+    ),
+)
+def _(spark, d):
+    rows = predictions(spark, d).withColumnRenamed("predicted_price", "yesterday")
+    made = forecast.walk_forward(rows, "actual_price", [], window_days=7)
+    return rounded(made, "predicted_price")
+
+
+@query(
+    "g11_walk_forward_single_feature",
+    sql(
+        f"""SELECT p.zone, p.ts_utc, p.local_date, {_ridge()} * p.predicted_price AS predicted_price,
+  p.actual_price
+FROM pred p JOIN (SELECT zone, fold, {_REGRESSION} FROM (
+    SELECT f.zone, fold, r.predicted_price AS x, r.actual_price AS y FROM {_FOLDS} f
+    JOIN pred r ON r.zone = f.zone AND r.local_date < fold AND r.local_date >= fold - 7)
+  GROUP BY zone, fold HAVING count(*) >= 48) m ON m.zone = p.zone AND m.fold = p.local_date""",
+        "pred",
+        "predicted_price",
+    ),
+)
+def _(spark, d):
+    rows = predictions(spark, d).withColumnRenamed("predicted_price", "yesterday")
+    made = forecast.walk_forward(rows, "actual_price", ["yesterday"], window_days=7)
+    return rounded(made, "predicted_price")
+
+
+@query("g11_sampled_walk_forward")
+def _(spark, d):
+    rows = _matrix(spark, d).withColumn("local_date", local_date("ts_utc"))
+    days = trading.sample_days(rows, 5, 7)
+    return forecast.walk_forward(
+        rows.drop("local_date"), PRICE, MODEL_FEATURES, window_days=7, folds=days
+    )

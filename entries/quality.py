@@ -311,12 +311,12 @@ FROM (SELECT *, CASE WHEN n >= 24 THEN m END AS rolling_mean,
 FROM {_OUTLIERS}""",
         "p",
         "rolling_mean rolling_std z_score",
-        places=8,
+        places=9,
     ),
 )
 def _(spark, d):
     flagged = quality.detect_outliers(market.prices(spark, d), extreme_high_threshold=100.0)
-    return rounded(flagged, "rolling_mean", "rolling_std", "z_score", places=8)
+    return rounded(flagged, "rolling_mean", "rolling_std", "z_score", places=9)
 
 
 def _zone_quality(spark, d):

@@ -71,7 +71,7 @@ def drift_status(history: DataFrame) -> DataFrame:
 
 
 def drift_history(history: DataFrame) -> DataFrame:
-    """The same status as of each observation."""
+    """Both means (unrounded) and the drift flag as of each observation."""
 
     def build(w):
         short, long = w.rowsBetween(-(SHORT - 1), 0), w.rowsBetween(-(LONG - 1), 0)
@@ -86,7 +86,7 @@ def drift_history(history: DataFrame) -> DataFrame:
         "zone",
         "ts_utc",
         "mae",
-        F.round("_short", 4).alias("rolling_7d_mae"),
-        F.round("_long", 4).alias("rolling_30d_mae"),
+        F.col("_short").alias("rolling_7d_mae"),
+        F.col("_long").alias("rolling_30d_mae"),
         ((F.col("_n") >= SHORT) & (F.col("_short") > F.col("_long") * 2)).alias("is_drifting"),
     )
