@@ -281,11 +281,25 @@ FROM {_LAGS} WHERE price_eur_mwh IS NOT NULL GROUP BY zone""",
         "g",
     ),
 )
+def _(spark, d):
+    inputs = market.prices(spark, d), market.load(spark, d), market.wind_solar(spark, d)
+    full = features.feature_matrix(*inputs)
+    return features.warm_up(full, features.feature_matrix(*inputs, complete=True))
+
+
+@query(
+    "e15_complete_matrix",
+    sql(
+        f"""SELECT zone, ts_utc, price_eur_mwh, price_lag_7d FROM {_LAGS}
+WHERE price_eur_mwh IS NOT NULL AND {_COMPLETE}""",
+        "g",
+    ),
+)
 def _(spark, d):
     matrix = features.feature_matrix(
-        market.prices(spark, d), market.load(spark, d), market.wind_solar(spark, d)
+        market.prices(spark, d), market.load(spark, d), market.wind_solar(spark, d), complete=True
     )
-    return features.warm_up(matrix)
+    return matrix.select("zone", "ts_utc", PRICE, "price_lag_7d")
 
 
 @query(

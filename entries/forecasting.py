@@ -13,8 +13,7 @@ from tidegrid.sources import market_events as market
 QUERIES, SQL, query = registry()
 
 MODEL_FEATURES = [
-    "price_lag_1d", "price_rolling_7d_mean", "price_rolling_7d_std", "hour_sin", "hour_cos",
-    "weekday_sin", "weekday_cos", "is_weekend", "is_holiday", "residual_load_mw", "load_mw",
+    *features.LAG_FEATURES, *features.CALENDAR_FEATURES, "residual_load_mw", "load_mw",
     "wind_total_mw", "wind_capacity_factor", "solar_mw",
 ]
 
@@ -22,9 +21,9 @@ MODEL_FEATURES = [
 def _matrix(spark, d, zone: str = "event_type"):
     matrix = features.feature_matrix(
         market.prices(spark, d, zone), market.load(spark, d, zone),
-        market.wind_solar(spark, d, zone),
-    ).select("zone", "ts_utc", PRICE, *MODEL_FEATURES)
-    return features.model_rows(matrix)
+        market.wind_solar(spark, d, zone), complete=True,
+    )
+    return matrix
 
 
 def _split(spark, d):

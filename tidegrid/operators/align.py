@@ -105,24 +105,24 @@ def to_grid(
     )
 
 
-def merged_grid(
+def merged_hours(
     frames: dict[str, tuple[DataFrame, Sequence[str]]], by: Sequence[str] = ("zone",)
 ) -> DataFrame:
-    """Several series on one hourly grid in a single aggregation.
+    """Several series merged by hour in a single aggregation.
 
-    ``frames`` maps a label to (frame, columns). Adds ``has_<label>``, true on
-    hours where that frame has a row, so row presence survives the merge.
+    ``frames`` maps a label to (frame, columns). Sub-hourly rows are averaged.
+    Adds ``has_<label>``, true on hours where that frame has a row. Stacking
+    the frames and grouping once replaces one join per series.
     """
     stacked = None
     for label, (frame, cols) in frames.items():
-        part = frame.select(*by, "ts_utc", *cols, F.lit(1).alias(f"has_{label}"))
+        part = frame.select(
+            *by, hour_no("ts_utc").alias("hour"), *cols, F.lit(1).alias(f"has_{label}")
+        )
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    blank = hour_skeleton(stacked, by)
-    rows = stacked.withColumn("hour", hour_no("ts_utc")).drop("ts_utc")
-    rows = rows.unionByName(blank, allowMissingColumns=True)
     values = [c for _, cols in frames.values() for c in cols]
     return (
-        rows.groupBy(*by, "hour")
+        stacked.groupBy(*by, "hour")
         .agg(
             *[F.avg(c).alias(c) for c in values],
             *[F.max(f"has_{label}").isNotNull().alias(f"has_{label}") for label in frames],

@@ -1,8 +1,8 @@
 """Windows over long series without one task per series.
 
-A trailing frame of ``before`` rows never looks further back than that, so a
+A trailing frame of ``before`` hours never looks further back than that, so a
 series can be cut into fixed-length blocks if each block also gets the last
-``before`` rows of the block ahead of it. The window then partitions by
+``before`` hours of the block ahead of it. The window then partitions by
 (series, block): a series holding a third of all rows still spreads over as
 many tasks as it has blocks, and the results equal the uncut window.
 """
@@ -27,10 +27,11 @@ def trailing(
     pos: str | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Add window columns whose frames reach at most ``before`` rows back.
+    """Add window columns whose frames reach at most ``before`` back.
 
-    ``pos`` names a gapless 0-based row position; without it the rows must be
-    on the complete hourly grid and the hour number serves as position.
+    The window orders by the hour number, so RANGE frames count hours and need
+    no rows for missing hours. With ``pos`` (a gapless row position) it orders
+    by that and frames count rows.
     """
     if block < before:
         raise ValueError("a block must be at least as long as the frame")
@@ -51,6 +52,11 @@ def trailing(
     )
 
 
+def hours_back(col: str, hours: int, w: WindowSpec) -> Column:
+    """Value exactly ``hours`` earlier; NULL when that hour has no row."""
+    return F.max(col).over(w.rangeBetween(-hours, -hours))
+
+
 def with_position(
     df: DataFrame, by: Sequence[str] = ("zone",), chunk_hours: int = 720, name: str = "pos"
 ) -> DataFrame:

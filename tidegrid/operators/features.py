@@ -1,7 +1,8 @@
 """Look-ahead-safe features for every zone in one plan.
 
-All lag operators expect the complete hourly grid (``align.to_grid``), where a
-row offset of 24 is exactly 24 hours.
+Lags and rolling windows count hours, not rows: frames range over the hour
+number, so a series with missing hours needs no filled grid. Rows must be
+unique per hour (``align.to_grid`` or ``align.merged_hours`` see to that).
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from tidegrid.functions.time import (
     local_weekday,
     to_local,
 )
-from tidegrid.operators.align import merged_grid
-from tidegrid.operators.blocks import trailing
+from tidegrid.operators.align import merged_hours
+from tidegrid.operators.blocks import hours_back, trailing
 from tidegrid.operators.screen import null_as_zero_sum, wind_columns
 
 PRICE = "price_eur_mwh"
@@ -69,16 +70,16 @@ CALENDAR_FEATURES = (
 
 
 def _lag_columns(price: str):
-    """Window expressions of the seven price features; they reach 191 rows back."""
+    """Window expressions of the seven price features; they reach 191 hours back."""
 
     def build(w):
         p = F.col(price)
-        week, day = w.rowsBetween(-(WEEK + 23), -24), w.rowsBetween(-47, -24)
+        week, day = w.rangeBetween(-(WEEK + 23), -24), w.rangeBetween(-47, -24)
         seen_week, seen_day = F.count(p).over(week), F.count(p).over(day)
         return {
-            "price_lag_1d": F.lag(p, 24).over(w),
-            "price_lag_2d": F.lag(p, 48).over(w),
-            "price_lag_7d": F.lag(p, WEEK).over(w),
+            "price_lag_1d": hours_back(price, 24, w),
+            "price_lag_2d": hours_back(price, 48, w),
+            "price_lag_7d": hours_back(price, WEEK, w),
             "price_rolling_7d_mean": F.when(seen_week >= 24, F.avg(p).over(week)),
             "price_rolling_7d_std": F.when(seen_week >= 24, F.stddev_samp(p).over(week)),
             "price_rolling_24h_min": F.when(seen_day >= 24, F.min(p).over(day)),
@@ -89,11 +90,11 @@ def _lag_columns(price: str):
 
 
 def lag_features(
-    grid: DataFrame, price_col: str = PRICE, by: Sequence[str] = ("zone",)
+    prices: DataFrame, price_col: str = PRICE, by: Sequence[str] = ("zone",)
 ) -> DataFrame:
     """Three lags, the 24-hour-shifted weekly mean and deviation (24 values
     needed) and the shifted daily minimum and maximum (all 24 needed)."""
-    return trailing(grid.select(*by, "ts_utc", price_col), WEEK + 23, _lag_columns(price_col), by)
+    return trailing(prices.select(*by, "ts_utc", price_col), WEEK + 23, _lag_columns(price_col), by)
 
 
 def calendar_features(
@@ -149,7 +150,7 @@ def residual_load(load: DataFrame, wind_solar: DataFrame) -> DataFrame:
 
 def _capacity_factor(total: str):
     def build(w):
-        frame = w.rowsBetween(-(WEEK - 1), 0)
+        frame = w.rangeBetween(-(WEEK - 1), 0)
         peak = F.when(F.count(total).over(frame) >= 24, F.max(total).over(frame))
         factor = F.when(peak > 0, F.col(total) / F.nullif(peak, F.lit(0.0))).otherwise(F.lit(0.0))
         return {"wind_capacity_factor": factor}
@@ -171,16 +172,15 @@ def wind_features(
     else:
         error = F.lit(None).cast("double")
     rows = rows.withColumn("_error", error)
-    merged = merged_grid({"wind": (rows, ["wind_total_mw", "_error"])}, by)
+    hourly = merged_hours({"wind": (rows, ["wind_total_mw", "_error"])}, by)
 
     def build(w):
         return {
             **_capacity_factor("wind_total_mw")(w),
-            "wind_forecast_error_lag1": F.lag("_error", 24).over(w),
+            "wind_forecast_error_lag1": hours_back("_error", 24, w),
         }
 
-    made = trailing(merged, WEEK, build, by)
-    return made.where("has_wind").select(
+    return trailing(hourly, WEEK, build, by).select(
         *by, "ts_utc", "wind_total_mw", "wind_capacity_factor", "wind_forecast_error_lag1"
     )
 
@@ -217,16 +217,22 @@ def feature_matrix(
     flow_labels: Sequence[tuple[str, str]] = (),
     day_tz: str = MARKET_TZ,
     by: Sequence[str] = ("zone",),
+    complete: bool = False,
 ) -> DataFrame:
     """All features at every price hour; price-only without load and wind.
 
-    Prices, load, wind/solar and actuals are merged onto one grid by a single
-    aggregation, then one blocked window computes every lag and rolling column:
-    two shuffles in total, whatever the number of inputs.
+    Prices, load, wind/solar and actuals are merged by hour in one aggregation,
+    then one blocked window computes every lag and rolling column: two shuffles
+    in total, whatever the number of inputs.
+
+    ``complete`` keeps only rows that can train a model: every column present,
+    except columns a zone has no data for at all (price-only zones, wind error
+    without actuals).
     """
     frames: dict[str, tuple[DataFrame, list[str]]] = {"price": (prices, [PRICE])}
     full = load is not None and wind_solar is not None
     winds: list[str] = []
+    solar: list[str] = []
     if full:
         winds = wind_columns(wind_solar.columns, skip_actuals=True)
         solar = [c for c in wind_solar.columns if "solar" in c.lower()][:1]
@@ -234,26 +240,26 @@ def feature_matrix(
         frames["load"] = (load, ["load_mw"])
         if actuals is not None:
             frames["actual"] = (actuals, ["wind_actual_mw"])
-    grid = merged_grid(frames, by)
+    hourly = merged_hours(frames, by)
 
     if full:
         total = F.when(F.col("has_supply"), null_as_zero_sum(winds))
         sun = F.col(solar[0]) if solar else F.when(F.col("has_supply"), F.lit(0.0))
-        grid = grid.withColumn("wind_total_mw", total)
-        grid = grid.withColumn("_sun", sun)
+        hourly = hourly.withColumns({"wind_total_mw": total, "_sun": sun}).withColumn(
+            "residual_load_mw", F.col("load_mw") - F.col("wind_total_mw") - F.col("_sun")
+        )
         if actuals is not None:
-            grid = grid.withColumn("_error", F.col("wind_actual_mw") - F.col("wind_total_mw"))
+            hourly = hourly.withColumn("_error", F.col("wind_actual_mw") - F.col("wind_total_mw"))
 
     def build(w):
         made = _lag_columns(PRICE)(w)
         if full:
             made |= _capacity_factor("wind_total_mw")(w)
-            made["residual_load_mw"] = F.col("load_mw") - F.col("wind_total_mw") - F.col("_sun")
             if actuals is not None:
-                made["wind_forecast_error_lag1"] = F.lag("_error", 24).over(w)
+                made["wind_forecast_error_lag1"] = hours_back("_error", 24, w)
         return made
 
-    rows = trailing(grid, WEEK + 23, build, by).where("has_price")
+    rows = trailing(hourly, WEEK + 23, build, by).where("has_price")
     if full:
         # no wind row at this hour: no capacity factor either
         rows = rows.withColumn(
@@ -261,37 +267,72 @@ def feature_matrix(
         )
     rows = calendar_features(rows, day_tz)
     names = [PRICE, *LAG_FEATURES, *CALENDAR_FEATURES]
+    optional = []
     if full:
-        names += ["residual_load_mw", "load_mw", "wind_total_mw", "wind_capacity_factor"]
+        optional = ["residual_load_mw", "load_mw", "wind_total_mw", "wind_capacity_factor"]
         if actuals is not None:
-            names.append("wind_forecast_error_lag1")
-        names += solar
-    out = rows.select(*by, "ts_utc", *names)
+            optional.append("wind_forecast_error_lag1")
+        optional += solar
+    out = rows.select(*by, "ts_utc", *names, *optional)
+    if complete:
+        out = out.na.drop(subset=[PRICE, *LAG_FEATURES])
+        if optional:
+            out = _where_complete(out, _presence(hourly, optional, by), optional, by)
     if flows is not None and flow_labels:
         out = out.join(flow_columns(flows, edges, flow_labels), "ts_utc", "left")
     return out
 
 
+def _presence(hourly: DataFrame, optional: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per zone: which optional columns have any value at a price hour.
+
+    Read off the merged hours before any window. Counting every merged column
+    keeps this branch's shuffle identical to the main one, so Spark reuses it
+    instead of merging the inputs twice.
+    """
+    sources = {
+        "wind_capacity_factor": "wind_total_mw",
+        "wind_forecast_error_lag1": "_error",
+    }
+    at_price = F.col("has_price")
+    merged = [c for c in hourly.columns if c not in (*by, "ts_utc") and not c.startswith("has_")]
+    return hourly.groupBy(*by).agg(
+        *[
+            (F.count(F.when(at_price, F.col(sources.get(c, c)))) > 0).alias(f"_has_{c}")
+            for c in optional
+        ],
+        F.count(F.coalesce(*merged)).alias("_any"),
+    )
+
+
+def _where_complete(
+    rows: DataFrame, presence: DataFrame, cols: Sequence[str], by: Sequence[str]
+) -> DataFrame:
+    whole = reduce(and_, [F.col(c).isNotNull() | ~F.col(f"_has_{c}") for c in cols])
+    if "_any" in presence.columns:
+        whole = whole & (F.col("_any") > 0)
+    return rows.join(presence, list(by)).where(whole).select(*rows.columns)
+
+
 def feature_names(matrix: DataFrame, target: str = PRICE) -> list[str]:
     return [c for c in matrix.columns if c not in ("zone", "ts_utc", target)]
 
 
 def model_rows(matrix: DataFrame, by: Sequence[str] = ("zone",)) -> DataFrame:
-    """Rows complete in every column their zone has data for.
-
-    A column that is NULL throughout a zone counts as absent there (price-only
-    zones, wind error without actuals) and does not drop that zone's rows.
-    """
+    """The ``complete`` rule applied to a stored matrix: rows complete in every
+    column their zone has data for. Reads its input twice, so give it a table;
+    ``feature_matrix(complete=True)`` avoids the second pass."""
     cols = [c for c in matrix.columns if c not in (*by, "ts_utc")]
     used = matrix.groupBy(*by).agg(*[(F.count(c) > 0).alias(f"_has_{c}") for c in cols])
-    whole = reduce(and_, [F.col(c).isNotNull() | ~F.col(f"_has_{c}") for c in cols])
-    return matrix.join(used, list(by)).where(whole).select(*matrix.columns)
+    return _where_complete(matrix, used, cols, by)
 
 
-def warm_up(matrix: DataFrame, by: Sequence[str] = ("zone",)) -> DataFrame:
-    """Rows before and after dropping incomplete ones, per zone."""
+def warm_up(
+    matrix: DataFrame, complete: DataFrame, by: Sequence[str] = ("zone",)
+) -> DataFrame:
+    """Rows of the full and of the complete matrix, and the difference, per zone."""
     before = matrix.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_before"))
-    after = model_rows(matrix, by).groupBy(*by).agg(F.count(F.lit(1)).alias("rows_after"))
+    after = complete.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_after"))
     return (
         before.join(after, list(by), "left")
         .withColumn("rows_after", F.coalesce("rows_after", F.lit(0)))
@@ -335,17 +376,17 @@ def _known(when: str, gate_hour: int) -> bool:
 
 
 def similar_day(
-    grid: DataFrame, col: str = PRICE, day_tz: str = MARKET_TZ, by: Sequence[str] = ("zone",)
+    prices: DataFrame, col: str = PRICE, day_tz: str = MARKET_TZ, by: Sequence[str] = ("zone",)
 ) -> DataFrame:
     """Similar-day ``baseline``: yesterday for Tue–Fri, last week otherwise."""
 
     def build(w):
         weekly = local_weekday("ts_utc", day_tz).isin(0, 5, 6)
         return {
-            "baseline": F.when(weekly, F.lag(col, WEEK).over(w)).otherwise(F.lag(col, 24).over(w))
+            "baseline": F.when(weekly, hours_back(col, WEEK, w)).otherwise(hours_back(col, 24, w))
         }
 
-    return trailing(grid, WEEK, build, by)
+    return trailing(prices, WEEK, build, by)
 
 
 def rolling_volatility(
@@ -354,7 +395,7 @@ def rolling_volatility(
     """Trailing 7-day deviation including the current hour, 24 values needed."""
 
     def build(w):
-        frame = w.rowsBetween(-(WEEK - 1), 0)
+        frame = w.rangeBetween(-(WEEK - 1), 0)
         return {
             "rolling_7d_std": F.when(
                 F.count(col).over(frame) >= 24, F.stddev_samp(col).over(frame)
@@ -365,15 +406,15 @@ def rolling_volatility(
 
 
 def look_ahead_demo(
-    grid: DataFrame, col: str = PRICE, by: Sequence[str] = ("zone",)
+    prices: DataFrame, col: str = PRICE, by: Sequence[str] = ("zone",)
 ) -> DataFrame:
     """Correlation with the 1-hour and the 24-hour lag, and the inflation of
     the (illegitimate) former over the latter in percent."""
 
     def build(w):
-        return {"lag_1": F.lag(col, 1).over(w), "lag_24": F.lag(col, 24).over(w)}
+        return {"lag_1": hours_back(col, 1, w), "lag_24": hours_back(col, 24, w)}
 
-    both = trailing(grid, 24, build, by)
+    both = trailing(prices, 24, build, by)
     return (
         both.groupBy(*by)
         .agg(

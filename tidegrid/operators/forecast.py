@@ -154,21 +154,19 @@ def importance_per_hour(
 # ---------------------------------------------- linear learner by Gram sums
 
 
-def _moment_columns(target: str, features: Sequence[str]) -> tuple[list[Column], int]:
-    """Sums of the products x_i·x_j (i ≤ j) over [1, features…, target]."""
-    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(target)]
-    n = len(terms)
-    return [F.sum(terms[i] * terms[j]) for i in range(n) for j in range(i, n)], n
-
-
 def _moments(
     df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
-    """One row per key with the packed upper triangle of the Gram matrix."""
-    sums, _ = _moment_columns(target, features)
-    named = [s.alias(f"m{i}") for i, s in enumerate(sums)]
+    """One row per key with the packed upper triangle of the Gram matrix of
+    [1, features…, target]: the sums of all products x_i·x_j, i ≤ j."""
+    terms = ["1D", *[f"CAST(`{c}` AS DOUBLE)" for c in (*features, target)]]
+    sums = [
+        F.expr(f"sum({terms[i]} * {terms[j]})")
+        for i in range(len(terms))
+        for j in range(i, len(terms))
+    ]
     whole = df.na.drop(subset=[*features, target])
-    return whole.groupBy(*keys).agg(*named)
+    return whole.groupBy(*keys).agg(*[s.alias(f"m{i}") for i, s in enumerate(sums)])
 
 
 def _solve(packed: np.ndarray, width: int, l2: float) -> np.ndarray:
@@ -218,10 +216,10 @@ def ridge_coefficients(
 
 def linear_prediction(features: Sequence[str], coefficients: str = "coefficients") -> Column:
     """Intercept plus dot product, as native column arithmetic."""
-    total = F.element_at(coefficients, 1)
-    for i, c in enumerate(features):
-        total = total + F.element_at(coefficients, i + 2) * F.col(c).cast("double")
-    return total
+    products = [
+        f"{coefficients}[{i + 1}] * CAST(`{c}` AS DOUBLE)" for i, c in enumerate(features)
+    ]
+    return F.expr(" + ".join([f"{coefficients}[0]", *products]))
 
 
 def fit_ridge_per_hour(
@@ -285,9 +283,14 @@ def walk_forward(
     spine = daily.join(
         scored.withColumn("_scored", F.lit(True)), [*by, "_day_no"], "full_outer"
     )
-    past = Window.partitionBy(*by).orderBy("_day_no").rangeBetween(-window_days, -1)
+    past = (
+        f"PARTITION BY {', '.join(by)} ORDER BY _day_no "
+        f"RANGE BETWEEN {window_days} PRECEDING AND 1 PRECEDING"
+    )
     windowed = (
-        spine.select(*by, "_day_no", "_scored", *[F.sum(c).over(past).alias(c) for c in cells])
+        spine.selectExpr(
+            *by, "_day_no", "_scored", *[f"sum({c}) OVER ({past}) AS {c}" for c in cells]
+        )
         .where(F.col("_scored") & (F.col("m0") >= min_rows))
         .drop("_scored")
     )

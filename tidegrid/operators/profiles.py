@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.stats import pair_count, pearson, share_pct
 from tidegrid.functions.time import MARKET_TZ, local_date, local_hour, local_month, week_end
 from tidegrid.operators.align import edge_prices
-from tidegrid.operators.blocks import trailing
+from tidegrid.operators.blocks import hours_back, trailing
 from tidegrid.operators.quantiles import quantile_columns
 from tidegrid.operators.screen import calendar_parts, clip_to_quantiles
 
@@ -132,7 +132,7 @@ def correlation_matrix(
 
 def lagged_cross_correlation(
     edges: DataFrame,
-    grid: DataFrame,
+    prices: DataFrame,
     col: str = PRICE,
     max_lag: int = 3,
     min_pairs: int = 100,
@@ -144,15 +144,15 @@ def lagged_cross_correlation(
     """
     lags = list(range(max_lag + 1))
     shifted = trailing(
-        grid.select("zone", "ts_utc", col),
+        prices.select("zone", "ts_utc", col),
         max(max_lag, 1),
-        lambda w: {f"_l{k}": F.lag(col, k).over(w) for k in lags},
+        lambda w: {f"_l{k}": hours_back(col, k, w) for k in lags},
     )
     ends = edges.select(F.col("from_zone").alias("zone"), F.col("to_zone").alias("neighbour"))
     both_ways = ends.union(
         ends.select(F.col("neighbour").alias("zone"), F.col("zone").alias("neighbour"))
     ).distinct()
-    own = grid.select("zone", "ts_utc", F.col(col).alias("_own"))
+    own = prices.select("zone", "ts_utc", F.col(col).alias("_own"))
     other = shifted.select(
         F.col("zone").alias("neighbour"), "ts_utc", *[f"_l{k}" for k in lags]
     )
@@ -165,7 +165,7 @@ def lagged_cross_correlation(
 
 
 def autocorrelation(
-    grid: DataFrame, col: str = PRICE, max_lag: int = 72, by: Sequence[str] = ("zone",)
+    prices: DataFrame, col: str = PRICE, max_lag: int = 72, by: Sequence[str] = ("zone",)
 ) -> DataFrame:
     """Autocorrelation at lags 1…n.
 
@@ -173,9 +173,9 @@ def autocorrelation(
     map-side-combined aggregate, so the copies never cross the network.
     """
     lags = trailing(
-        grid.select(*by, "ts_utc", col),
+        prices.select(*by, "ts_utc", col),
         max_lag,
-        lambda w: {"_lags": F.array(*[F.lag(col, k).over(w) for k in range(1, max_lag + 1)])},
+        lambda w: {"_lags": F.array(*[hours_back(col, k, w) for k in range(1, max_lag + 1)])},
     )
     long = lags.select(*by, F.col(col).alias("_x"), F.posexplode("_lags").alias("_k", "_y"))
     return long.groupBy(*by, (F.col("_k") + 1).alias("lag_hours")).agg(
