@@ -17,7 +17,7 @@ from tidegrid.functions.stats import mae, pearson, rmse, smape
 from tidegrid.functions.time import MARKET_TZ, local_date, local_hour
 from tidegrid.operators.align import fold_days
 from tidegrid.operators.blocks import with_position
-from tidegrid.session import with_checkpoint_dir
+from tidegrid.session import staged, with_checkpoint_dir
 
 # Boosted-tree settings.
 GBT_PARAMS = {
@@ -28,6 +28,7 @@ GBT_PARAMS = {
     "featureSubsetStrategy": "0.8",
     "seed": 42,
 }
+ROWS_PER_PARTITION = 20_000
 MIN_HOUR_ROWS = 10
 MIN_TRAIN_ROWS = 48
 
@@ -62,25 +63,35 @@ def fit_gbt(
     """One distributed boosted-tree model over all zones.
 
     The zone enters as an indexed feature, so a single fit replaces one fit
-    per zone and parallelises over rows rather than over zones.
+    per zone and parallelises over rows rather than over zones. The training
+    rows are written once: the several hundred jobs of a fit read that table,
+    not the feature plan, and a lost executor re-reads files.
     """
     with_checkpoint_dir(df.sparkSession)
     inputs = list(features)
+    wanted = _numeric(df, [*features, target]).select(
+        *(["zone"] if zone_feature else []), *features, target
+    )
+    rows = staged(wanted, "training")
+    n_rows, n_zones = rows.agg(
+        F.count(F.lit(1)), F.count_distinct("zone") if zone_feature else F.lit(0)
+    ).first()
+    # small training sets: per-job overhead dominates, so few partitions
+    size = max(1, -(-n_rows // ROWS_PER_PARTITION))
+    if size < rows.sparkSession.sparkContext.defaultParallelism:
+        rows = rows.coalesce(size)
     stages = []
     if zone_feature:
         stages.append(StringIndexer(inputCol="zone", outputCol="_zone_no", handleInvalid="keep"))
         inputs.append("_zone_no")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
-    settings = {**GBT_PARAMS, **(params or {})}
-    n_zones = df.select("zone").distinct().count() if zone_feature else 0
-    # one-byte slack for the "unseen zone" category
-    settings.setdefault("maxBins", max(32, n_zones + 2))
+    settings = {"maxBins": max(32, n_zones + 2), **GBT_PARAMS, **(params or {})}
     stages.append(
         GBTRegressor(
             featuresCol="_features", labelCol=target, predictionCol="predicted_price", **settings
         )
     )
-    return Pipeline(stages=stages).fit(_numeric(df, features))
+    return Pipeline(stages=stages).fit(rows)
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
