@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from entries.base import PRICE, grid, predictions, registry, rounded, sql, with_baseline
+from entries.base import PRICE, predictions, registry, rounded, sql, with_baseline
 from tidegrid.functions.time import local_date
 from tidegrid.operators import features, forecast, trading
-from tidegrid.operators.blocks import trailing
+from tidegrid.session import staged
 from tidegrid.sources import market_events as market
 
 QUERIES, SQL, query = registry()
@@ -19,11 +19,12 @@ MODEL_FEATURES = [
 
 
 def _matrix(spark, d, zone: str = "event_type"):
+    """The complete feature matrix as a written table; models read it often."""
     matrix = features.feature_matrix(
         market.prices(spark, d, zone), market.load(spark, d, zone),
         market.wind_solar(spark, d, zone), complete=True,
     )
-    return matrix
+    return staged(matrix, "matrix")
 
 
 def _split(spark, d):

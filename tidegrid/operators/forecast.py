@@ -15,7 +15,6 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tidegrid.functions.stats import mae, pearson, rmse, smape
 from tidegrid.functions.time import MARKET_TZ, local_date, local_hour
-from tidegrid.operators.align import fold_days
 from tidegrid.operators.blocks import with_position
 from tidegrid.session import staged, with_checkpoint_dir
 
@@ -169,15 +168,21 @@ def _moments(
     df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
     """One row per key with the packed upper triangle of the Gram matrix of
-    [1, features…, target]: the sums of all products x_i·x_j, i ≤ j."""
-    terms = ["1D", *[f"CAST(`{c}` AS DOUBLE)" for c in (*features, target)]]
+    [1, features…, target]: the sums of all products x_i·x_j, i ≤ j.
+
+    Incomplete rows add nothing, but a key with only such rows still appears
+    (with NULL sums).
+    """
+    whole = " AND ".join(f"`{c}` IS NOT NULL" for c in (*features, target))
+    terms = [f"_x{i}" for i in range(len(features) + 2)]
+    values = ["1D", *[f"CAST(`{c}` AS DOUBLE)" for c in (*features, target)]]
+    rows = df.selectExpr(
+        *keys, *[f"CASE WHEN {whole} THEN {v} END AS {t}" for v, t in zip(values, terms)]
+    )
     sums = [
-        F.expr(f"sum({terms[i]} * {terms[j]})")
-        for i in range(len(terms))
-        for j in range(i, len(terms))
+        f"sum({terms[i]} * {terms[j]})" for i in range(len(terms)) for j in range(i, len(terms))
     ]
-    whole = df.na.drop(subset=[*features, target])
-    return whole.groupBy(*keys).agg(*[s.alias(f"m{i}") for i, s in enumerate(sums)])
+    return rows.groupBy(*keys).agg(*[F.expr(f"{e} AS m{n}") for n, e in enumerate(sums)])
 
 
 def _solve(packed: np.ndarray, width: int, l2: float) -> np.ndarray:
@@ -280,6 +285,7 @@ def walk_forward(
     Instead of rescanning a window per fold, each day's Gram sums are computed
     once (map-side combined) and added up over the preceding days by a range
     frame on the day number; one small ridge system per (zone, day) remains.
+    ``df`` is read twice (training and scoring), so give it a stored matrix.
     ``folds`` (…, fold_day) restricts the scored days, e.g. to sampled ones.
     Returns ``by…, ts_utc, local_date, predicted_price, actual_price``.
     """
@@ -287,17 +293,16 @@ def walk_forward(
     rows = rows.withColumn("_day_no", F.unix_date("local_date"))
     daily = _moments(rows, target, features, [*by, "_day_no"])
     cells = [c for c in daily.columns if c.startswith("m") and c[1:].isdigit()]
-
-    # every scored day needs a moments row, even when its own rows are incomplete
-    scored = folds if folds is not None else fold_days(rows, "local_date", window_days, by)
-    scored = scored.select(*by, F.unix_date("fold_day").alias("_day_no")).distinct()
-    spine = daily.join(
-        scored.withColumn("_scored", F.lit(True)), [*by, "_day_no"], "full_outer"
-    )
-    past = (
-        f"PARTITION BY {', '.join(by)} ORDER BY _day_no "
-        f"RANGE BETWEEN {window_days} PRECEDING AND 1 PRECEDING"
-    )
+    series = f"PARTITION BY {', '.join(by)}"
+    if folds is None:
+        first = f"min(_day_no) OVER ({series})"
+        spine = daily.withColumn("_scored", F.expr(f"_day_no >= {first} + {window_days}"))
+    else:
+        wanted = folds.select(
+            *by, F.unix_date("fold_day").alias("_day_no"), F.lit(True).alias("_scored")
+        ).distinct()
+        spine = daily.join(wanted, [*by, "_day_no"], "full_outer")
+    past = f"{series} ORDER BY _day_no RANGE BETWEEN {window_days} PRECEDING AND 1 PRECEDING"
     windowed = (
         spine.selectExpr(
             *by, "_day_no", "_scored", *[f"sum({c}) OVER ({past}) AS {c}" for c in cells]
