@@ -151,11 +151,13 @@ def normalise_weather(payloads: DataFrame, source_tz: str = WEATHER_TZ) -> DataF
     names = VALUE_COLUMNS["weather"]
     inner = ", ".join(["time: array<string>", *[f"{n}: array<double>" for n in names]])
     hourly = F.from_json("payload", f"hourly struct<{inner}>").getField("hourly")
+    # a variable the document lacks zips as an empty array, which pads with NULL
+    absent = F.array().cast("array<double>")
+    values = [F.coalesce(F.col(f"h.{n}"), absent).alias(n) for n in names]
     rows = payloads.select("zone", hourly.alias("h")).select(
-        "zone", F.col("h.time").alias("_times"),
-        F.posexplode(F.arrays_zip(*[F.col(f"h.{n}").alias(n) for n in ("time", *names)])).alias(
-            "_at", "_r"
-        ),
+        "zone",
+        F.col("h.time").alias("_times"),
+        F.posexplode(F.arrays_zip(F.col("h.time").alias("time"), *values)).alias("_at", "_r"),
     )
     local = F.try_to_timestamp(F.col("_r.time"), F.lit("yyyy-MM-dd'T'HH:mm")).cast("timestamp_ntz")
     repeated = F.array_position(F.col("_times"), F.col("_r.time")) <= F.col("_at")
