@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import features
 from tidegrid.plans import daily_run, ingest, sampled_backtest, zone_ranking
+from tidegrid.session import staged
 from tidegrid.sources import store
 from tidegrid.streaming import landing
 
@@ -47,7 +48,7 @@ def test_daily_run_writes_every_report(spark, market_tables, tmp_path):
 
 
 def test_sampled_backtest_fills_only_new_days(spark, market_tables, tmp_path):
-    matrix = daily_run.prepare(market_tables)["matrix"]
+    matrix = staged(daily_run.prepare(market_tables)["matrix"], "matrix")
     names = features.feature_names(matrix)
     path = str(tmp_path / "results")
     first = sampled_backtest.run(matrix, names, path, n_samples=2, window_days=4).collect()
@@ -62,6 +63,17 @@ def test_sampled_backtest_fills_only_new_days(spark, market_tables, tmp_path):
     assert kept.count() == 2 * 2 * 24  # stored days were not scored again
 
 
+def test_price_only_zones_get_their_own_model(spark, market_tables, tmp_path):
+    lone = {
+        name: (df if name == "prices" else df.where("zone = 'A'"), cols)
+        for name, (df, cols) in market_tables.items()
+    }
+    summary = daily_run.run(
+        lone, str(tmp_path), "2025-02-01 12:00:00", window_days=4, params={"maxIter": 1, "maxDepth": 1}
+    )
+    assert {r.zone: r.n_trading_days for r in summary.collect()} == {"A": 5, "B": 5}
+
+
 def test_rankings(spark, prices):
     df, _ = prices(60)
     zones = spark.createDataFrame(

@@ -66,12 +66,14 @@ def hour_span(df: DataFrame, by: Sequence[str] = ("zone",)) -> DataFrame:
 def hour_skeleton(df: DataFrame, by: Sequence[str] = ("zone",)) -> DataFrame:
     """Every hour between the first and last stored hour of each series.
 
-    Exploded day by day so no row carries a whole series as one array.
+    Days are exploded and spread over tasks before their hours are, so neither
+    a long series nor a single task has to produce the whole grid.
     """
     first_day, last_day = F.floor(F.col("first_hour") / 24), F.floor(F.col("last_hour") / 24)
     return (
         hour_span(df, by)
         .withColumn("_day", F.explode(F.sequence(first_day, last_day)))
+        .repartition(*by, "_day")
         .withColumn("hour", F.explode(F.sequence(F.col("_day") * 24, F.col("_day") * 24 + 23)))
         .where(F.col("hour").between(F.col("first_hour"), F.col("last_hour")))
         .select(*by, "hour")

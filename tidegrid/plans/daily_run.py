@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.time import MARKET_TZ
 from tidegrid.operators import features, forecast, monitor, quality, trading
+from tidegrid.operators.align import concat
+from tidegrid.session import staged
 from tidegrid.sources.store import write_report
 
 # Training windows in days, with and without fundamentals.
@@ -21,10 +23,15 @@ def prepare(
     day_tz: str = MARKET_TZ,
 ) -> dict[str, DataFrame]:
     """Clean tables, zone quality and the complete feature matrix of all zones
-    that pass the gate."""
-    data = quality.load_all(tables, order)
-    checks = quality.zone_quality(
-        data["prices"], data["wind_solar"], data["load"], data["imputation_log"], day_tz
+    that pass the gate. Cleaned tables and checks are written once, since both
+    the checks and the features read them."""
+    cleaned = quality.load_all(tables, order)
+    data = {name: staged(df, name) for name, df in cleaned.items()}
+    checks = staged(
+        quality.zone_quality(
+            data["prices"], data["wind_solar"], data["load"], data["imputation_log"], day_tz
+        ),
+        "quality",
     )
     kept = {
         name: quality.passing_zones(data[name], checks)
@@ -36,6 +43,21 @@ def prepare(
     return {**data, "quality": checks, "matrix": matrix}
 
 
+def feature_sets(matrix: DataFrame) -> list[tuple[DataFrame, list[str], int]]:
+    """(rows, feature names, training window) of the zones with fundamentals
+    and of the price-only zones. After the ``complete`` rule a row misses a
+    column only if its whole zone does."""
+    names = features.feature_names(matrix)
+    basic = [*features.LAG_FEATURES, *features.CALENDAR_FEATURES]
+    if set(names) == set(basic):
+        return [(matrix, basic, WINDOW_PRICE_ONLY)]
+    lacking = F.greatest(*[F.col(c).isNull() for c in names])
+    return [
+        (matrix.where(~lacking), names, WINDOW_FULL),
+        (matrix.where(lacking), basic, WINDOW_PRICE_ONLY),
+    ]
+
+
 def evaluate_split(
     matrix: DataFrame,
     names: Sequence[str],
@@ -71,7 +93,7 @@ def run(
     out: str,
     run_at: str,
     order: str = "ingest_no",
-    window_days: int = WINDOW_FULL,
+    window_days: int | None = None,
     params: dict | None = None,
     day_tz: str = MARKET_TZ,
 ) -> DataFrame:
@@ -83,11 +105,11 @@ def run(
     write_report(data["quality"], f"{out}/quality", "json")
     write_report(data["matrix"], f"{out}/matrix", "parquet")
     matrix = spark.read.parquet(f"{out}/matrix")
-    names = features.feature_names(matrix)
+    groups = [g for g in feature_sets(matrix) if not g[0].isEmpty()]
 
-    metrics, weights = evaluate_split(matrix, names, params, day_tz)
-    write_report(metrics, f"{out}/metrics", "parquet")
-    write_report(weights, f"{out}/importance", "csv")
+    evaluated = [evaluate_split(rows, names, params, day_tz) for rows, names, _ in groups]
+    write_report(concat(*[m for m, _ in evaluated]), f"{out}/metrics", "parquet")
+    write_report(concat(*[i for _, i in evaluated]), f"{out}/importance", "csv")
     observed = spark.read.parquet(f"{out}/metrics").select(
         "zone", F.lit(run_at).cast("timestamp_ntz").alias("ts_utc"), "mae"
     )
@@ -95,7 +117,10 @@ def run(
     drift = monitor.drift_status(spark.read.parquet(f"{out}/error_history"))
     write_report(drift, f"{out}/drift", "json")
 
-    write_report(backtest(matrix, names, window_days, day_tz), f"{out}/results", "parquet")
+    scored = [
+        backtest(rows, names, window_days or window, day_tz) for rows, names, window in groups
+    ]
+    write_report(concat(*scored), f"{out}/results", "parquet")
     summary = trading.backtest_summary(spark.read.parquet(f"{out}/results"))
     write_report(summary, f"{out}/summary", "json")
     return summary

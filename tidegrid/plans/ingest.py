@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators.align import dedup
 from tidegrid.sources import exports, records
 from tidegrid.sources.schemas import VALUE_COLUMNS
 from tidegrid.sources.store import merge_into
@@ -25,12 +24,9 @@ def ingest_payloads(
 ) -> None:
     """Spot-price and production documents into prices, production, wind/solar
     and load. Overlapping documents: the later file wins."""
-    spot = records.read_payloads(spark, spot_path)
-    prices = records.normalise_spot(spot).where(F.col("price_eur_mwh").isNotNull())
-    keys = ["source", "zone", "ts_utc"]
-    unique = dedup(prices.withColumn("_seq", F.struct("price_eur_mwh", "price_dkk_mwh")),
-                   "_seq", "last", keys).drop("_seq")
-    merge_into(_stored_shape(unique, "day_ahead_prices"), root, "day_ahead_prices")
+    spot = records.normalise_spot(records.read_payloads(spark, spot_path))
+    prices = spot.where(F.col("price_eur_mwh").isNotNull())
+    merge_into(_stored_shape(prices, "day_ahead_prices"), root, "day_ahead_prices")
 
     production = records.normalise_production(records.read_payloads(spark, production_path))
     merge_into(_stored_shape(production, "production_exchange"), root, "production_exchange")

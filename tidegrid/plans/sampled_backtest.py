@@ -33,7 +33,8 @@ def run(
     refresh: bool = False,
 ) -> DataFrame:
     """Score the sampled days of every zone that have no stored result, merge
-    them into the result table and return the summary per zone."""
+    them into the result table and return the summary per zone. ``matrix`` is
+    read several times: pass a stored table."""
     spark = matrix.sparkSession
     dated = matrix.withColumn("local_date", local_date("ts_utc", day_tz))
     days = trading.sample_days(dated, n_samples, window_days)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.time import hour_floor, to_utc
+from tidegrid.operators.align import dedup
 from tidegrid.operators.screen import parse_number
 from tidegrid.sources.schemas import VALUE_COLUMNS
 
@@ -48,10 +49,21 @@ def _utc_text(text):
 
 
 def _records(payloads: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Exploded ``records[]`` with every field as text."""
+    """One typed row per record with ``_seq``, its place in landing order.
+
+    Later files and later records of a file come last; without a ``file``
+    column only the place inside the document counts.
+    """
     inner = ", ".join(f"{f}: string" for f in ("HourUTC", "PriceArea", *fields))
-    parsed = F.from_json("payload", f"records array<struct<{inner}>>")
-    return payloads.select(F.explode(parsed.getField("records")).alias("r")).select("r.*")
+    parsed = F.from_json("payload", f"records array<struct<{inner}>>").getField("records")
+    file = F.col("file") if "file" in payloads.columns else F.lit("")
+    rows = payloads.select(file.alias("_file"), F.posexplode(parsed).alias("_at", "r"))
+    return rows.select(
+        _zone_from_area(F.col("r.PriceArea")).alias("zone"),
+        _utc_text(F.col("r.HourUTC")).alias("ts_utc"),
+        *[parse_number(F.col(f"r.{f}")).alias(name) for f, name in fields.items()],
+        F.struct("_file", "_at").alias("_seq"),
+    )
 
 
 def _zone_from_area(area):
@@ -60,30 +72,19 @@ def _zone_from_area(area):
 
 
 def normalise_spot(payloads: DataFrame, source: str = "energinet") -> DataFrame:
-    """Spot-price records → ``source, zone, ts_utc, price_eur_mwh, price_dkk_mwh``."""
-    rows = _records(payloads, SPOT_FIELDS)
-    return rows.select(
-        F.lit(source).alias("source"),
-        _zone_from_area(F.col("PriceArea")).alias("zone"),
-        _utc_text(F.col("HourUTC")).alias("ts_utc"),
-        *[parse_number(f).alias(name) for f, name in SPOT_FIELDS.items()],
-    )
+    """Spot-price records → ``source, zone, ts_utc, price_eur_mwh, price_dkk_mwh``;
+    of an hour landed twice the later record is kept."""
+    rows = dedup(_records(payloads, SPOT_FIELDS), "_seq", "last").drop("_seq")
+    return rows.select(F.lit(source).alias("source"), "zone", "ts_utc", *SPOT_FIELDS.values())
 
 
 def normalise_production(payloads: DataFrame, source: str = "energinet") -> DataFrame:
-    """Production/exchange records with coerced numbers, averaged per hour.
-
-    Fields a payload lacks stay NULL.
-    """
-    rows = _records(payloads, PRODUCTION_FIELDS)
-    typed = rows.select(
-        _zone_from_area(F.col("PriceArea")).alias("zone"),
-        _utc_text(F.col("HourUTC")).alias("ts_utc"),
-        *[parse_number(f).alias(name) for f, name in PRODUCTION_FIELDS.items()],
-    )
+    """Production/exchange records with coerced numbers: the later of repeated
+    records, then the mean of each hour. Fields a payload lacks stay NULL."""
+    rows = dedup(_records(payloads, PRODUCTION_FIELDS), "_seq", "last").drop("_seq")
     names = list(PRODUCTION_FIELDS.values())
     return (
-        typed.groupBy("zone", hour_floor("ts_utc").alias("ts_utc"))
+        rows.groupBy("zone", hour_floor("ts_utc").alias("ts_utc"))
         .agg(*[F.avg(c).alias(c) for c in names])
         .select(F.lit(source).alias("source"), "zone", "ts_utc", *names)
     )

@@ -38,7 +38,7 @@ VALUE_COLUMNS = {
 def series_schema(datatype: str) -> StructType:
     values = ", ".join(f"{c} double" for c in VALUE_COLUMNS[datatype])
     return StructType.fromDDL(
-        f"ts_utc timestamp_ntz, {values}, source string, zone string, month string"
+        f"zone string, ts_utc timestamp_ntz, {values}, source string, month string"
     )
 
 

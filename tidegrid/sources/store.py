@@ -1,8 +1,9 @@
 """The stored series: one partitioned table per datatype.
 
-Layout ``root/<datatype>/source=…/zone=…/month=yyyy-MM``. Month partitions keep
-a merge from rewriting a zone's whole history and give time filters something
-to prune.
+Layout ``root/<datatype>/source=…/month=yyyy-MM`` with rows range-clustered by
+zone and time. Directories do not multiply with zones (a zone-month is only a
+few hundred rows), files stay full-sized, time filters prune directories and
+zone filters prune row groups.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from tidegrid.session import staged
 from tidegrid.sources.schemas import nan_to_null, series_schema
 
 SERIES_KEYS = ("source", "zone", "ts_utc")
-PARTITIONS = ("source", "zone", "month")
+PARTITIONS = ("source", "month")
+SERIES_MONTH = ("source", "zone", "month")
 
 # Sources in order of preference.
 SOURCE_PRIORITY = ("energinet", "entsoe")
@@ -39,8 +41,8 @@ def read_series(
 ) -> DataFrame:
     """Stored rows; an absent table reads as an empty frame.
 
-    Source, zone and month filters prune directories; the time bounds also
-    reach the parquet reader.
+    Source and month filters prune directories; zone and time filters reach
+    the parquet reader.
     """
     schema = series_schema(datatype)
     try:
@@ -68,17 +70,22 @@ def with_month(df: DataFrame) -> DataFrame:
     return df.withColumn("month", F.date_format(F.col("ts_utc").cast("date"), "yyyy-MM"))
 
 
-def write_series(df: DataFrame, root: str, datatype: str) -> None:
-    """Overwrite the (source, zone, month) partitions present in ``df``.
+def _replace(df: DataFrame, root: str, datatype: str, keys: Sequence[str]) -> None:
+    """Put ``df`` in place of the stored rows with the same ``keys``.
 
-    Rows are spread by partition and day so that no single task has to write a
-    large partition alone.
+    Only the touched (source, month) partitions are read and rewritten. The
+    merged rows are staged in the shared folder first, so the job never reads
+    files it replaces and a lost executor cannot recompute from half-replaced
+    input.
     """
-    out = with_month(df)
-    days = F.col("ts_utc").cast("date")
+    spark = df.sparkSession
+    new = staged(with_month(df), f"new-{datatype}")
+    touched = new.select(*PARTITIONS).distinct()
+    old = read_series(spark, root, datatype).join(touched, list(PARTITIONS), "left_semi")
+    merged = staged(merge_series(old, new, keys), f"merged-{datatype}")
     (
-        out.repartition(*PARTITIONS, days)
-        .sortWithinPartitions(*PARTITIONS, "ts_utc")
+        merged.repartitionByRange(*PARTITIONS, "zone", "ts_utc")
+        .sortWithinPartitions(*PARTITIONS, "zone", "ts_utc")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITIONS)
@@ -86,6 +93,17 @@ def write_series(df: DataFrame, root: str, datatype: str) -> None:
     )
 
 
+def write_series(df: DataFrame, root: str, datatype: str) -> None:
+    """Overwrite the series-months present in ``df``; other zones' rows and
+    other months stay."""
+    _replace(df, root, datatype, SERIES_MONTH)
+
+
+def merge_into(df: DataFrame, root: str, datatype: str) -> None:
+    """Upsert ``df`` into the stored table by source, zone and timestamp."""
+    _replace(df, root, datatype, SERIES_KEYS)
+
+
 def merge_series(
     old: DataFrame, new: DataFrame, keys: Sequence[str] = SERIES_KEYS
 ) -> DataFrame:
@@ -94,21 +112,6 @@ def merge_series(
     return concat(kept, new)
 
 
-def merge_into(df: DataFrame, root: str, datatype: str) -> None:
-    """Upsert ``df`` into the stored table.
-
-    Only the touched months are read. The merged rows are staged in the shared
-    folder before the overwrite, so the job never reads files it replaces and a
-    lost executor cannot recompute from half-replaced input.
-    """
-    spark = df.sparkSession
-    new = staged(with_month(df), f"new-{datatype}")
-    touched = new.select(*PARTITIONS).distinct()
-    old = read_series(spark, root, datatype).join(touched, list(PARTITIONS), "left_semi")
-    merged = staged(merge_series(old, new), f"merged-{datatype}")
-    write_series(merged.drop("month"), root, datatype)
-
-
 def coverage(df: DataFrame, by: Sequence[str] = ("zone",)) -> DataFrame:
     """First and last stored timestamp per series."""
     return df.groupBy(*by).agg(F.min("ts_utc").alias("start"), F.max("ts_utc").alias("end"))
