@@ -113,3 +113,13 @@ def test_zone_quality_gate(prices, series):
     rows = quality.zone_quality(p, w, w, audit).collect()
     assert all(r.skip and "completeness" in r.errors[0] for r in rows)
     assert quality.passing_zones(p, quality.zone_quality(p, w, w, audit)).count() == 0
+
+
+def test_listed_zone_without_prices_is_an_error(spark, prices, series):
+    p, _ = prices(48)
+    w, _ = series(48, wind_onshore_mw=lambda r, n: r.random(n))
+    audit = quality.impute_ffill(w, ["wind_onshore_mw"])[1]
+    zones = spark.createDataFrame([("A",), ("C",)], "zone string")
+    got = {r.zone: r for r in quality.zone_quality(p, w, w, audit, zones=zones).collect()}
+    assert got["C"].errors == ["No price data for C"] and got["C"].skip
+    assert not got["A"].skip and not got["B"].skip

@@ -346,11 +346,13 @@ def zone_quality(
     audit: DataFrame,
     day_tz: str = MARKET_TZ,
     price_col: str = "price_eur_mwh",
+    zones: DataFrame | None = None,
 ) -> DataFrame:
     """Every zone's errors, warnings and skip flag.
 
     Checks union into (zone, level, message) rows: at most a handful of rows
-    per zone, plus one per clock-change day.
+    per zone, plus one per clock-change day. With ``zones`` (a zone dimension),
+    listed zones without any price are errors too.
     """
     n = F.count(F.lit(1))
 
@@ -403,18 +405,25 @@ def zone_quality(
             F.format_string("%.1f%% of hours were forward-filled", F.col("imputed_pct")),
         )
     )
+    priced = prices.select("zone").distinct()
+    everyone = priced
+    if zones is not None:
+        unpriced = zones.select("zone").distinct().join(priced, "zone", "left_anti")
+        checks.append(
+            messages(unpriced, "error", F.format_string("No price data for %s", "zone"))
+        )
+        everyone = priced.unionByName(unpriced)
     found = reduce(DataFrame.unionByName, checks)
 
     def listed(level: str):
         return F.sort_array(F.collect_list(F.when(F.col("level") == level, F.col("message"))))
 
-    zones = prices.select("zone").distinct()
     rolled = found.groupBy("zone").agg(
         listed("error").alias("errors"), listed("warning").alias("warnings")
     )
     empty = F.array().cast("array<string>")
     return (
-        zones.join(rolled, "zone", "left")
+        everyone.join(rolled, "zone", "left")
         .withColumn("errors", F.coalesce("errors", empty))
         .withColumn("warnings", F.coalesce("warnings", empty))
         .withColumn("skip", F.size("errors") > 0)

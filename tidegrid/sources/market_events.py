@@ -45,8 +45,14 @@ def share_key() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def events(spark: SparkSession, sf_dir: str, zone: str = "event_type") -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("zone", F.col(zone).cast("string"))
+def events(spark: SparkSession, sf_dir: str, zone: Column | str = "event_type") -> DataFrame:
+    zone = F.col(zone) if isinstance(zone, str) else zone
+    return table(spark, sf_dir, "events").withColumn("zone", zone.cast("string"))
+
+
+def twenty_zones() -> Column:
+    """Zones by fives of the share key: dense hourly series at sf0.1."""
+    return F.concat(F.lit("Z"), F.floor(share_key() / 5))
 
 
 def source_of() -> Column:
@@ -64,7 +70,7 @@ def _hourly_price(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def prices(spark: SparkSession, sf_dir: str, zone: str = "event_type") -> DataFrame:
+def prices(spark: SparkSession, sf_dir: str, zone: Column | str = "event_type") -> DataFrame:
     return _hourly_price(events(spark, sf_dir, zone), "zone")
 
 
@@ -73,7 +79,7 @@ def prices_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hourly_price(rows, "source", "zone")
 
 
-def wind_solar(spark: SparkSession, sf_dir: str, zone: str = "event_type") -> DataFrame:
+def wind_solar(spark: SparkSession, sf_dir: str, zone: Column | str = "event_type") -> DataFrame:
     k, c = share_key(), cents("value")
     day_hours = F.hour("ts").between(7, 18)
     solar = F.sum(F.when((k >= 67) & day_hours, c).otherwise(F.lit(0).cast("bigint"))) / 100.0
@@ -97,7 +103,7 @@ def wind_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, sf_dir: str, zone: str = "event_type") -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, zone: Column | str = "event_type") -> DataFrame:
     return (
         events(spark, sf_dir, zone)
         .groupBy("zone", hour_floor("ts").alias("ts_utc"))
@@ -105,7 +111,7 @@ def load(spark: SparkSession, sf_dir: str, zone: str = "event_type") -> DataFram
     )
 
 
-def actuals(spark: SparkSession, sf_dir: str, zone: str = "event_type") -> DataFrame:
+def actuals(spark: SparkSession, sf_dir: str, zone: Column | str = "event_type") -> DataFrame:
     """Metered wind per zone and hour, from the values alone."""
     return (
         events(spark, sf_dir, zone)
