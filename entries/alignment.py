@@ -90,11 +90,12 @@ LEFT JOIN (SELECT zone, h AS ts_utc, avg(value) AS value FROM ev GROUP BY ALL) m
   USING (zone, ts_utc)""",
         "hrs",
         "value",
+        places=9,
     ),
 )
 def _(spark, d):
     raw = market.events(spark, d).select("zone", F.col("ts").alias("ts_utc"), "value")
-    return rounded(align.to_grid(raw, ["value"]))
+    return rounded(align.to_grid(raw, ["value"]), places=9)
 
 
 @query(

@@ -52,11 +52,11 @@ JOIN (SELECT zone, CAST(hour(ts_utc + INTERVAL 1 HOUR) AS INTEGER) AS hour,
 GROUP BY zone, hour""",
         "p",
         "q1 median q3 whisker_lo whisker_hi",
-        places=8,
+        places=9,
     ),
 )
 def _(spark, d):
-    return rounded(profiles.box_stats(market.prices(spark, d)), places=8)
+    return rounded(profiles.box_stats(market.prices(spark, d)), places=9)
 
 
 @query(
@@ -315,11 +315,12 @@ FROM {_JOINED} JOIN (SELECT zone, quantile_cont(price_eur_mwh, 0.01e0) AS lo,
 FROM {_TAIL} GROUP BY zone, segment""",
         "p l ws",
         "mean_price_eur_mwh mean_wind_total_mw mean_solar_mw mean_load_mw mean_residual_load_mw",
+        places=8,
     ),
 )
 def _(spark, d):
     means = [PRICE, "wind_total_mw", "solar_mw", "load_mw", "residual_load_mw"]
-    return rounded(profiles.tail_conditions(_joined(spark, d), means))
+    return rounded(profiles.tail_conditions(_joined(spark, d), means), places=8)
 
 
 @query(

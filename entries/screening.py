@@ -127,13 +127,15 @@ FROM p JOIN (SELECT zone, quantile_cont(price_eur_mwh, 0.001) AS lo,
                     quantile_cont(price_eur_mwh, 0.999) AS hi FROM p GROUP BY zone) USING (zone)""",
         "p",
         "clipped",
+        places=9,
     ),
 )
 def _(spark, d):
     return rounded(
         screen.clip_to_quantiles(market.prices(spark, d), PRICE).select(
             "zone", "ts_utc", "clipped"
-        )
+        ),
+        places=9,
     )
 
 
