@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import regex
@@ -125,18 +125,20 @@ class WordTable:
         self.used += len(ids)
         self.place.update(zip(words, range(n, n + m), strict=True))
 
-    def know(self, words: list) -> None:
-        """Learn what is new in ``words``; forgets the rest first if there are too many."""
-        new = sorted(set(words).difference(self.place))
-        if new:
-            if len(self.place) + len(new) > self.most:
+    def look_up(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a list of words, one after the other, and each word's number of ids.
+
+        New words are learned together; if they are too many the others are forgotten first.
+        """
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps):
+            new = list(dict.fromkeys([words[k] for k in gaps.tolist()]))
+            if self.place and len(self.place) + len(new) > self.most:
                 self.clear()
-                new = sorted(set(words))
+                return self.look_up(words)
             self._add(new)
-
-    def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a list of known words, one after the other, and each word's number of ids."""
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            at[gaps] = [self.place[words[k]] for k in gaps.tolist()]
         return spread(self.flat, self.start[at], self.size[at]), self.size[at]
 
 
@@ -200,8 +202,7 @@ class ByteBPE:
 
         def look_up():
             words = [w for _, ws in waiting for w in ws]
-            self.table.know(words)
-            ids, sizes = self.table.ids(words)
+            ids, sizes = self.table.look_up(words)
             ends, at = np.r_[0, np.cumsum(sizes)], 0
             for k, ws in waiting:
                 out[k].append(ids[ends[at] : ends[at + len(ws)]])

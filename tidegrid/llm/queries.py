@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "url_rules", "bpe")
+MODULES = ("kd_shards", "packing", "url_rules", "bpe", "quality")
 
 
 def all_queries() -> dict:

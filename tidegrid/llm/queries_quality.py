@@ -24,13 +24,13 @@ SQL = {
     "op10_rule_bitmask_ledger": r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
-  list_filter(string_split(text, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) as l from d),
+  [l for l in string_split(text, chr(10)) if regexp_matches(l, '[^\x20\x09-\x0D]')] as l from d),
 pos as (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w),
 tri as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as c from pos),
 rep as (select doc_id, count(distinct p) as n from
   (select doc_id, unnest([i, i + 1, i + 2]) as p from tri where c > 1) group by doc_id),
 m as (select w.doc_id, len(w)::bigint as n_words,
-  coalesce(list_sum(list_transform(w, x -> length(x))), 0)::bigint as word_chars,
+  coalesce(list_sum([length(x) for x in w]), 0)::bigint as word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
   len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
   coalesce(rep.n, 0)::bigint as n_repeat_words
