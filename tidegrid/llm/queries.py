@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("kd_shards", "packing", "url_rules", "bpe", "quality")
+MODULES = ("ngram_join", "kd_shards", "packing", "url_rules", "bpe", "quality")
 
 
 def all_queries() -> dict:
