@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "kd_shards", "packing", "url_rules", "warc", "bpe", "quality")
+MODULES = ("ngram_join", "kd_shards", "packing", "line_dedup", "url_rules", "warc", "bpe", "quality")
 
 
 def all_queries() -> dict:
