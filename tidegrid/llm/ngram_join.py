@@ -267,11 +267,10 @@ def ngram_components(
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest doc_id.
 
-    Rows that repeat a doc_id stay once; rows without an id stay.
+    Rows that repeat a doc_id stay or go together; rows without an id stay.
     """
     found = ngram_components(docs.select("doc_id", "text"), **options)
     gone = staged(
         found.where("doc_id != component_id").select("doc_id").distinct(), "ngram-gone"
     )
-    kept = docs.join(small_side(gone), "doc_id", "left_anti")
-    return kept
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
