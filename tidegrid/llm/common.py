@@ -107,7 +107,7 @@ def linked_groups(
     verify: Callable[[DataFrame], DataFrame],
     label: str,
     meet: Column | None = None,
-    star_rounds: int = 3,
+    star_rounds: int = 2,
 ) -> DataFrame:
     """All links that decide the connected groups, without all pairs of a bucket.
 

@@ -4,9 +4,10 @@ A document is its set of word n-grams, as 64-bit hashes; the hash order is the g
 n-grams, and ranges of it are fragments. Overlaps are counted fragment by fragment and summed:
 
 1. *First fragment.* Of each document's n-grams below a fixed point of the order, those that no other
-   document has are counted. A document with more of them than a linked one may miss is out; this
-   leaves the members of near-duplicate groups and few others. Only here do all documents shuffle
-   n-grams, and only this fragment's.
+   document has are counted. A document with more of them than a linked one may miss is out. Only
+   here do all documents shuffle n-grams, and only this fragment's. What is left, few but members of
+   near-duplicate groups, is counted again over all fragments for as long as a tenth of it goes:
+   this drops edited copies too far from every other, which would be compared with each other.
 2. *Candidates.* Two linked sets differ in at most H n-grams, a bound that follows from their sizes.
    The order is cut into more than H fragments, so at least one fragment is equal in both; its
    content's hash is the bucket in which they meet. Passages that many documents share fill no
@@ -179,7 +180,8 @@ def _fragments(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             )
 
     schema = "class long, part int, n long, grams array<long>, buckets array<long>"
-    return staged(docs.select("text").mapInArrow(run, schema), "ngram-fragments")
+    found = docs.select("text").mapInArrow(run, schema)
+    return staged(found.withColumn("row", F.monotonically_increasing_id()), "ngram-fragments")
 
 
 def ngram_components(
@@ -223,6 +225,31 @@ def ngram_components(
     fragments = fragments.join(left.select("class"), "class", "left_semi")
     if not fragments.where("part = 0").groupBy("class").count().where("count > 1").isEmpty():
         fragments = staged(fragments.dropDuplicates(["class", "part"]), "ngram-fragments")
+    # the same over all fragments, among the classes left: partial counts of a class are summed
+    classes, gone = fragments.count() // PARTS, None
+    while classes and (gone is None or gone > classes // 10):
+        part_alone = (
+            fragments.select("row", F.explode("grams").alias("gram"))
+            .groupBy("gram")
+            .agg(F.count("*").alias("rows"), F.min("row").alias("row"))
+            .where("rows = 1")
+            .groupBy("row")
+            .agg(F.count("*").alias("alone"))
+        )
+        out = staged(
+            fragments.select("row", "class", "n").join(part_alone, "row")
+            .groupBy("class", "n")
+            .agg(F.sum("alone").alias("alone"))
+            .where(F.col("alone") > may_miss)
+            .select("class"),
+            "ngram-out",
+        )
+        gone = out.count()
+        if gone:
+            fragments = staged(
+                fragments.join(small_side(out, gone), "class", "left_anti"), "ngram-fragments"
+            )
+            classes -= gone
     # 2. and 3.
     members = fragments.where("part = 0").select(
         F.explode("buckets").alias("bucket"), F.col("class").alias("node"), F.col("n").alias("info")
