@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import staged
 from tidegrid.llm.tokens import pieces
 
 #: Pieces of a group, on average.
@@ -73,7 +74,7 @@ def pack_documents(
     Nulls, empty texts, cutting and repeated rows are as in ``tokens.pieces``; null ids stay null.
     Sequences hold at most ``width`` ids; sequence numbers are unique but not gapless.
     """
-    rows = pieces(docs, path, width, end_id, keep_ids, text, doc_id)
+    rows = staged(pieces(docs, path, width, end_id, keep_ids, text, doc_id), "pieces")
     packed = pack(rows, width, group_pieces)
     return packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset",

@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import arrow_rows, staged
+from tidegrid.llm.common import staged
 from tidegrid.llm.tokens import pieces
 
-#: Ids of a group, on average.
-GROUP_IDS = 4_000_000
+#: UTF-8 bytes of text in a group, on average; about 4 million ids.
+GROUP_BYTES = 12_000_000
 
 
 class RoomTree:
@@ -76,7 +76,7 @@ def best_fit(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def packed_sequences(
     docs: DataFrame, path: str, width: int = 4096, end_id: int = 1, pad_id: int = 0,
-    group_ids: int = GROUP_IDS, text: str = "text", doc_id: str = "doc_id",
+    group_bytes: int = GROUP_BYTES, text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
     """The written sequences, one row each.
 
@@ -85,12 +85,11 @@ def packed_sequences(
     of the padding); ``n_ids`` without padding; ``ids`` (``width`` little-endian unsigned integers
     of ``id_bytes`` bytes). A document is its ids and ``end_id``; a null or empty text is ``end_id``
     alone. Repeated rows are packed as often as they occur; null ids stay null. An empty table gives
-    no sequence.
+    no sequence. Ids go from the scan straight to their group, so ``docs`` should be a table in files.
     """
-    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long") + 1)).first()[0] or 0
+    groups = max(1, -(-total // group_bytes))
     rows = pieces(docs, path, width, end_id, True, text, doc_id)
-    total = rows.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-total // group_ids))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = (
         f"sequence_id long, doc_ids array<{id_type}>, pieces array<int>, starts array<long>,"
@@ -121,8 +120,7 @@ def packed_sequences(
         return pd.DataFrame(out, columns=names)
 
     dealt = rows.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    with arrow_rows(spark, 2000):
-        return staged(dealt.groupBy("group").applyInPandas(run, schema), "sequences", 2000)
+    return staged(dealt.groupBy("group").applyInPandas(run, schema), "sequences")
 
 
 def segments(sequences: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidegrid.llm.bpe import WordTable, byte_symbols
-from tidegrid.llm.common import staged
 
 #: The pattern of the vocabulary file (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -129,11 +128,12 @@ def pieces(
     docs: DataFrame, path: str, width: int, end_id: int, keep_ids: bool, text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """Staged rows (row, doc_id, piece, start, length, ids_crc32[, ids]) of all documents.
+    """Rows (row, doc_id, piece, start, length, ids_crc32[, ids]) of all documents.
 
     A document is its ids and ``end_id``; only longer ones are cut, every ``width`` ids. A null or
-    empty text is ``end_id`` alone. ``row`` is unique and fixed by the written table, so rows that
-    repeat a document stay apart. ``ids`` are little-endian unsigned 16-bit integers where the
+    empty text is ``end_id`` alone. ``row`` is unique, so rows that repeat a document stay apart. It
+    follows the order of rows in ``docs``: with a table in files a task that runs again gives the
+    same numbers. ``ids`` are little-endian unsigned 16-bit integers where the
     vocabulary allows it, else 32-bit. Other columns are dropped.
     """
     import pyarrow as pa
@@ -172,5 +172,4 @@ def pieces(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    cut = source.mapInArrow(run, schema)
-    return staged(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
