@@ -108,12 +108,21 @@ def linked_groups(
     label: str,
     meet: Column | None = None,
     star_rounds: int = 2,
+    group_info: Column | None = None,
+    groups_meet: Column | None = None,
+    group_slice: Column | None = None,
+    refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """All links that decide the connected groups, without all pairs of a bucket.
 
     ``members`` (bucket, node, info): any two linked nodes share a bucket. ``verify`` turns distinct
-    candidate pairs (a, b), a < b, into the linked ones. ``meet`` is a cheap necessary condition on
-    the columns ``info_a`` and ``info_b``.
+    candidate pairs (a, b), a < b, into the linked ones, or marks them in a column ``linked`` beside
+    other columns. ``meet`` is a cheap necessary condition on
+    the columns ``info_a`` and ``info_b``; ``groups_meet`` is one on ``groups_a`` and ``groups_b``,
+    the aggregate ``group_info`` over the infos of a group's members in a bucket, taken apart by
+    ``group_slice`` so that it says more. Before the last
+    round ``refine`` may replace the infos by what the first found: it gets the members with their
+    bucket's ``hub``, and the measured pairs.
 
     Buckets of one node are dropped. In each star round a bucket compares its members with one hub:
     first the member that shares most buckets with others, then one by hash. Only buckets that still
@@ -128,8 +137,7 @@ def linked_groups(
     rows = staged(
         rows.join(score, "node").select("bucket", "node", "info", "score"), f"{label}-scored"
     )
-    links = None
-    groups = None
+    links = groups = first_hubs = first_pairs = None
     for turn in range(star_rounds + 1):
         if groups is None:
             mixed = rows.withColumn("group", F.col("node"))
@@ -151,6 +159,9 @@ def linked_groups(
             hubs = mixed.groupBy("bucket").agg(
                 F.max(F.struct(rank.alias("rank"), "node", "info", "group")).alias("hub")
             )
+            if turn == 0 and refine is not None:
+                hubs = staged(hubs, f"{label}-hubs")
+                first_hubs = hubs.select("bucket", F.col("hub.node").alias("hub"))
             pairs = (
                 mixed.join(hubs, "bucket")
                 .where("group != hub.group")
@@ -160,16 +171,29 @@ def linked_groups(
                 )
             )
         else:
-            present = mixed.select("bucket", "group").distinct()
-            meeting = present.join(
-                present.select("bucket", F.col("group").alias("second")), "bucket"
-            ).where("group < second")
-            left = mixed.select("bucket", "group", "node", F.col("info").alias("info_a"))
+            if first_hubs is not None:
+                mixed = refine(mixed.join(first_hubs, "bucket"), first_pairs)
+                mixed = staged(mixed, f"{label}-refined")
+            about = F.lit(0) if group_info is None else group_info
+            part = F.lit(0) if group_slice is None else group_slice
+            mixed = mixed.withColumn("part", part)
+            present = mixed.groupBy("bucket", "group", "part").agg(about.alias("groups_a"))
+            other = present.select(
+                "bucket", F.col("group").alias("second"), F.col("part").alias("second_part"),
+                F.col("groups_a").alias("groups_b"),
+            )
+            meeting = present.join(other, "bucket").where("group < second")
+            if groups_meet is not None:
+                meeting = meeting.where(groups_meet)
+            meeting = meeting.drop("groups_a", "groups_b")
+            left = mixed.select("bucket", "group", "part", "node", F.col("info").alias("info_a"))
             right = mixed.select(
-                "bucket", F.col("group").alias("second"), F.col("node").alias("other"),
-                F.col("info").alias("info_b"),
+                "bucket", F.col("group").alias("second"), F.col("part").alias("second_part"),
+                F.col("node").alias("other"), F.col("info").alias("info_b"),
+            )
+            pairs = meeting.join(left, ["bucket", "group", "part"]).join(
+                right, ["bucket", "second", "second_part"]
             )
-            pairs = meeting.join(left, ["bucket", "group"]).join(right, ["bucket", "second"])
         if meet is not None:
             pairs = pairs.where(meet)
         pairs = staged(
@@ -178,7 +202,10 @@ def linked_groups(
             ).distinct(),
             f"{label}-pairs",
         )
-        found = staged(verify(pairs).select("a", "b"), f"{label}-links")
+        measured = staged(verify(pairs), f"{label}-links")
+        first_pairs = measured if turn == 0 else first_pairs
+        found = measured.where("linked") if "linked" in measured.columns else measured
+        found = found.select("a", "b")
         links = found if links is None else links.union(found)
         if turn < star_rounds:
             groups = components(links, label)

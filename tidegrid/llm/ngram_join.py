@@ -11,7 +11,9 @@ n-grams, and ranges of it are fragments. Overlaps are counted fragment by fragme
 2. *Candidates.* Two linked sets differ in at most H n-grams, a bound that follows from their sizes.
    The order is cut into more than H fragments, so at least one fragment is equal in both; its
    content's hash is the bucket in which they meet. Passages that many documents share fill no
-   fragment alone and bring no candidates.
+   fragment alone and bring no candidates. What a document has alone bounds what it can share, so
+   pairs whose sizes and lone n-grams leave too little for a link aren't compared; nor are those
+   whose overlaps with the bucket's hub and n-grams outside of it leave too little.
 3. *Partial overlaps.* A candidate pair's overlap is counted separately in each of PARTS fragments
    and summed, and the link is decided on whole numbers.
 
@@ -226,7 +228,7 @@ def ngram_components(
     if not fragments.where("part = 0").groupBy("class").count().where("count > 1").isEmpty():
         fragments = staged(fragments.dropDuplicates(["class", "part"]), "ngram-fragments")
     # the same over all fragments, among the classes left: partial counts of a class are summed
-    classes, gone = fragments.count() // PARTS, None
+    classes, gone, alone_in = fragments.count() // PARTS, None, None
     while classes and (gone is None or gone > classes // 10):
         part_alone = (
             fragments.select("row", F.explode("grams").alias("gram"))
@@ -236,14 +238,13 @@ def ngram_components(
             .groupBy("row")
             .agg(F.count("*").alias("alone"))
         )
-        out = staged(
+        alone_in = staged(
             fragments.select("row", "class", "n").join(part_alone, "row")
             .groupBy("class", "n")
-            .agg(F.sum("alone").alias("alone"))
-            .where(F.col("alone") > may_miss)
-            .select("class"),
-            "ngram-out",
+            .agg(F.sum("alone").alias("alone")),
+            "ngram-alone",
         )
+        out = alone_in.where(F.col("alone") > may_miss).select("class")
         gone = out.count()
         if gone:
             fragments = staged(
@@ -251,8 +252,20 @@ def ngram_components(
             )
             classes -= gone
     # 2. and 3.
-    members = fragments.where("part = 0").select(
-        F.explode("buckets").alias("bucket"), F.col("class").alias("node"), F.col("n").alias("info")
+    heads = fragments.where("part = 0").select("class", "n", "buckets")
+    if alone_in is not None:
+        heads = heads.join(alone_in.select("class", "alone"), "class", "left")
+    else:
+        heads = heads.withColumn("alone", F.lit(0))
+    # Linked sets have c common n-grams, (num + den) * c >= num * (n + n'). What a set shares with
+    # any other is at most ``most``; with the hub it shares ``hub``, and ``rest`` of it with others.
+    most = F.col("n") - F.coalesce("alone", F.lit(0))
+    info = lambda n, most, hub, rest: F.named_struct(
+        F.lit("n"), n, F.lit("most"), most, F.lit("hub"), hub, F.lit("rest"), rest
+    ).alias("info")
+    members = heads.select(
+        F.explode("buckets").alias("bucket"), F.col("class").alias("node"),
+        info(F.col("n"), most, most, most),
     )
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -264,11 +277,39 @@ def ngram_components(
             overlap.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).alias("c"))
             .groupBy("a", "b", "n_a", "n_b")
             .agg(F.sum("c").alias("common"))
-            .where(den * F.col("common") >= num * (F.col("n_a") + F.col("n_b") - F.col("common")))
+            .withColumn(
+                "linked",
+                den * F.col("common") >= num * (F.col("n_a") + F.col("n_b") - F.col("common")),
+            )
+        )
+
+    def fits(a: str, b: str) -> F.Column:
+        """Both may share enough: inside the hub, and outside of it."""
+        least = lambda part: F.least(f"{a}.{part}", f"{b}.{part}")
+        shared = F.least(least("most"), least("hub") + least("rest"))
+        return (num + den) * shared >= num * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+    def refine(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Infos with the overlap that each member was found to have with its bucket's hub."""
+        known = pairs.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common").union(
+            pairs.select("b", "a", "common")
+        )
+        most, own = F.col("info.most"), F.col("node") == F.col("hub")
+        with_hub = F.when(own, most).otherwise(F.coalesce("common", most))
+        rest = F.when(own, F.lit(0)).otherwise(F.coalesce(most - F.col("common"), most))
+        return rows.join(known, ["node", "hub"], "left").select(
+            "bucket", "node", "group", info(F.col("info.n"), most, with_hub, rest.cast("long"))
         )
 
-    near = F.least("info_a", "info_b") * den >= F.greatest("info_a", "info_b") * num
-    links = linked_groups(members.where("node is not null"), verify, "ngram", near)
+    top = lambda part: F.max(f"info.{part}")
+    links = linked_groups(
+        members, verify, "ngram", fits("info_a", "info_b"), 2,
+        info(F.min("info.n"), top("most"), top("hub"), top("rest")),
+        fits("groups_a", "groups_b"),
+        F.xxhash64("info.n", F.floor(32 * F.col("info.hub") / F.col("info.n")),
+                   F.floor(32 * F.col("info.rest") / F.col("info.n"))),
+        refine,
+    )
     links = staged(links.distinct(), "ngram-all-links")
     groups = components(links, "ngram")
     degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").count()
