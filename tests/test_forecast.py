@@ -151,3 +151,35 @@ def test_skill_and_winner(spark):
     assert row.mae_improvement_pct == pytest.approx(50.0)
     rows = forecast.hourly_winner(df, "actual_price", "predicted_price", "baseline").collect()
     assert len(rows) == 24 and {r.winner for r in rows} == {"Single"}
+
+
+def test_constant_columns_and_missing_features(spark, series):
+    names = ["x", "flat", "big"]
+    df, pdf = series(24 * 12, x=lambda r, n: r.normal(size=n), flat=3123.37, big=50000.1,
+                     price_euro=0.0)
+    df = df.withColumn("y", 3 * F.col("x") + 7).drop("price_euro")
+    got = to_pandas(forecast.walk_forward(df, "y", names, 4, l2=0.0))
+    np.testing.assert_allclose(got.predicted_price, got.actual_price, atol=1e-6)
+    models = forecast.fit_ridge_per_hour(df, "y", names, l2=0.0)
+    assert models.count() > 0
+    flat = models.where("coefficients[2] != 0 OR coefficients[3] != 0")
+    assert flat.count() == 0
+    holed = df.withColumn("x", F.when(F.hour("ts_utc") != 5, F.col("x")))
+    scored = forecast.predict_per_hour(models, holed, names)
+    assert scored.where("x IS NULL AND predicted_price IS NOT NULL").count() == 0
+    none = forecast.predict_per_hour(models.where("hour < 0"), holed, names)
+    assert none.where("predicted_price = 0").count() == none.count()
+
+
+def test_walk_forward_per_hour_equals_one_hour_at_a_time(spark, series):
+    df, _ = series(24 * 16, x=lambda r, n: r.normal(size=n), y=lambda r, n: r.normal(size=n))
+    got = to_pandas(forecast.walk_forward(df, "y", ["x"], 12, min_rows=1, day_tz="UTC", per_hour=True))
+    at = got.ts_utc.dt.hour
+    for hour in (0, 7, 23):
+        alone = to_pandas(forecast.walk_forward(
+            df.where(F.hour("ts_utc") == hour), "y", ["x"], 12, min_rows=10, day_tz="UTC"))
+        both = got[at == hour].merge(alone, on=["zone", "ts_utc"])
+        assert len(both) == len(alone) > 0
+        np.testing.assert_allclose(both.predicted_price_x, both.predicted_price_y, rtol=1e-9)
+    thin = to_pandas(forecast.walk_forward(df, "y", ["x"], 9, min_rows=1, day_tz="UTC", per_hour=True))
+    assert (thin.predicted_price == 0).all()  # nine rows an hour are too few

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +27,8 @@ GBT_PARAMS = {
     "featureSubsetStrategy": "0.8",
     "seed": 42,
 }
-ROWS_PER_PARTITION = 20_000
+#: Zones enter trees as numbers below this; more zones don't change the splits of other features.
+ZONE_NUMBERS = 1 << 20
 MIN_HOUR_ROWS = 10
 MIN_TRAIN_ROWS = 48
 
@@ -61,10 +62,12 @@ def fit_gbt(
 ) -> PipelineModel:
     """One distributed boosted-tree model over all zones.
 
-    The zone enters as an indexed feature, so a single fit replaces one fit
-    per zone and parallelises over rows rather than over zones. The training
-    rows are written once: the several hundred jobs of a fit read that table,
-    not the feature plan, and a lost executor re-reads files.
+    The zone enters as a number, a hash of its name, so a single fit replaces
+    one fit per zone and parallelises over rows rather than over zones; no list
+    of zones is kept and unknown zones can be scored. The training rows are
+    written once: the several hundred jobs of a fit read that table, not the
+    feature plan, and a lost executor re-reads files. Every table is treated
+    alike, whatever its size.
     """
     with_checkpoint_dir(df.sparkSession)
     inputs = list(features)
@@ -72,19 +75,13 @@ def fit_gbt(
         *(["zone"] if zone_feature else []), *features, target
     )
     rows = staged(wanted, "training")
-    n_rows, n_zones = rows.agg(
-        F.count(F.lit(1)), F.count_distinct("zone") if zone_feature else F.lit(0)
-    ).first()
-    # small training sets: per-job overhead dominates, so few partitions
-    size = max(1, -(-n_rows // ROWS_PER_PARTITION))
-    if size < rows.sparkSession.sparkContext.defaultParallelism:
-        rows = rows.coalesce(size)
     stages = []
     if zone_feature:
-        stages.append(StringIndexer(inputCol="zone", outputCol="_zone_no", handleInvalid="keep"))
+        number = f"CAST(pmod(xxhash64(zone), {ZONE_NUMBERS}) AS DOUBLE)"
+        stages.append(SQLTransformer(statement=f"SELECT *, {number} AS _zone_no FROM __THIS__"))
         inputs.append("_zone_no")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
-    settings = {"maxBins": max(32, n_zones + 2), **GBT_PARAMS, **(params or {})}
+    settings = {**GBT_PARAMS, **(params or {})}
     stages.append(
         GBTRegressor(
             featuresCol="_features", labelCol=target, predictionCol="predicted_price", **settings
@@ -189,7 +186,9 @@ def _solve(packed: np.ndarray, width: int, l2: float) -> np.ndarray:
     """Ridge coefficients [intercept, features…] from packed Gram sums.
 
     Features are standardised with the window's own mean and deviation; a
-    feature that is constant in the window gets coefficient 0.
+    feature that is constant in the window gets coefficient 0. Raw sums carry a
+    rounding error of about n·eps·level², so a variance below some times that
+    counts as none.
     """
     gram = np.zeros((width, width))
     upper = np.triu_indices(width)
@@ -197,9 +196,10 @@ def _solve(packed: np.ndarray, width: int, l2: float) -> np.ndarray:
     gram = gram + np.triu(gram, 1).T
     n, sums = gram[0, 0], gram[0, 1:]
     centred = gram[1:, 1:] - np.outer(sums, sums) / n
-    sd = np.sqrt(np.clip(np.diag(centred)[:-1] / n, 0, None))
-    level = np.abs(sums[:-1] / n) + 1.0
-    live = sd > 1e-9 * level
+    variance = np.clip(np.diag(centred)[:-1] / n, 0, None)
+    noise = 64 * max(n, 64.0) * np.finfo(float).eps * (sums[:-1] / n) ** 2
+    live = variance > noise + 1e-18
+    sd = np.sqrt(variance)
     beta = np.zeros(width - 2)
     if live.any():
         s = sd[live]
@@ -260,11 +260,15 @@ def predict_per_hour(
     day_tz: str = MARKET_TZ,
     by: Sequence[str] = ("zone",),
 ) -> DataFrame:
-    """``predicted_price`` from the hour's model; no model → 0."""
+    """``predicted_price`` from the hour's model; no model → 0, a missing
+    feature → NULL."""
     rows = df.withColumn("hour", local_hour("ts_utc", day_tz))
     return (
         rows.join(models, [*by, "hour"], "left")
-        .withColumn("predicted_price", F.coalesce(linear_prediction(features), F.lit(0.0)))
+        .withColumn(
+            "predicted_price",
+            F.when(F.col("coefficients").isNull(), 0.0).otherwise(linear_prediction(features)),
+        )
         .drop("coefficients", "hour")
     )
 
@@ -279,6 +283,7 @@ def walk_forward(
     day_tz: str = MARKET_TZ,
     by: Sequence[str] = ("zone",),
     folds: DataFrame | None = None,
+    per_hour: bool = False,
 ) -> DataFrame:
     """Refit per zone and day on the preceding ``window_days`` days.
 
@@ -287,39 +292,56 @@ def walk_forward(
     frame on the day number; one small ridge system per (zone, day) remains.
     ``df`` is read twice (training and scoring), so give it a stored matrix.
     ``folds`` (…, fold_day) restricts the scored days, e.g. to sampled ones.
+    ``per_hour`` fits one model for each local hour of a fold, from at least ten
+    rows; rows of an hour without a model are predicted 0 where their fold has
+    ``min_rows`` rows, and the spine then has 24 rows a day.
     Returns ``by…, ts_utc, local_date, predicted_price, actual_price``.
     """
     rows = df.withColumn("local_date", local_date("ts_utc", day_tz))
     rows = rows.withColumn("_day_no", F.unix_date("local_date"))
-    daily = _moments(rows, target, features, [*by, "_day_no"])
-    cells = [c for c in daily.columns if c.startswith("m") and c[1:].isdigit()]
-    series = f"PARTITION BY {', '.join(by)}"
-    if folds is None:
-        first = f"min(_day_no) OVER ({series})"
-        spine = daily.withColumn("_scored", F.expr(f"_day_no >= {first} + {window_days}"))
-    else:
-        wanted = folds.select(
-            *by, F.unix_date("fold_day").alias("_day_no"), F.lit(True).alias("_scored")
-        ).distinct()
-        spine = daily.join(wanted, [*by, "_day_no"], "full_outer")
-    past = f"{series} ORDER BY _day_no RANGE BETWEEN {window_days} PRECEDING AND 1 PRECEDING"
-    windowed = (
-        spine.selectExpr(
-            *by, "_day_no", "_scored", *[f"sum({c}) OVER ({past}) AS {c}" for c in cells]
+
+    def models_of(frame: DataFrame, group: list[str], least: int) -> DataFrame:
+        daily = _moments(frame, target, features, [*group, "_day_no"])
+        cells = [c for c in daily.columns if c.startswith("m") and c[1:].isdigit()]
+        series = f"PARTITION BY {', '.join(group)}"
+        if folds is None:
+            first = f"min(_day_no) OVER (PARTITION BY {', '.join(by)})"
+            spine = daily.withColumn("_scored", F.expr(f"_day_no >= {first} + {window_days}"))
+        else:
+            wanted = folds.select(
+                *by, F.unix_date("fold_day").alias("_day_no"), F.lit(True).alias("_scored")
+            ).distinct()
+            if per_hour and "_hour" in group:
+                hours = F.explode(F.sequence(F.lit(0), F.lit(23)))
+                wanted = wanted.withColumn("_hour", hours)
+            spine = daily.join(wanted, [*group, "_day_no"], "full_outer")
+        past = f"{series} ORDER BY _day_no RANGE BETWEEN {window_days} PRECEDING AND 1 PRECEDING"
+        windowed = (
+            spine.selectExpr(
+                *group, "_day_no", "_scored", *[f"sum({c}) OVER ({past}) AS {c}" for c in cells]
+            )
+            .where(F.col("_scored") & (F.col("m0") >= least))
+            .drop("_scored")
         )
-        .where(F.col("_scored") & (F.col("m0") >= min_rows))
-        .drop("_scored")
-    )
-    models = ridge_coefficients(windowed, [*by, "_day_no"], len(features), l2)
-    return (
-        rows.join(models, [*by, "_day_no"])
-        .select(
-            *by,
-            "ts_utc",
-            "local_date",
-            linear_prediction(features).alias("predicted_price"),
-            F.col(target).alias("actual_price"),
+        return ridge_coefficients(windowed, [*group, "_day_no"], len(features), l2)
+
+    prediction = linear_prediction(features)
+    if per_hour:
+        rows = rows.withColumn("_hour", local_hour("ts_utc", day_tz))
+        usable = models_of(rows, list(by), min_rows).select(*by, "_day_no")
+        hourly = models_of(rows, [*by, "_hour"], MIN_HOUR_ROWS)
+        scored = rows.join(usable, [*by, "_day_no"]).join(
+            hourly, [*by, "_hour", "_day_no"], "left"
         )
+        prediction = F.when(F.col("coefficients").isNull(), 0.0).otherwise(prediction)
+    else:
+        scored = rows.join(models_of(rows, list(by), min_rows), [*by, "_day_no"])
+    return scored.select(
+        *by,
+        "ts_utc",
+        "local_date",
+        prediction.alias("predicted_price"),
+        F.col(target).alias("actual_price"),
     )
 
 
