@@ -330,6 +330,33 @@ def _(spark, d):
     return made.select("zone", "ts_utc", *kept)
 
 
+_KNOWN = (
+    "price_lag_2d price_lag_7d hour_sin hour_cos weekday_sin weekday_cos is_weekend is_holiday "
+    "residual_load_mw load_mw wind_total_mw wind_capacity_factor solar_mw"
+)
+
+
+@query(
+    "e16_gate_closure_of_the_full_matrix",
+    sql(
+        f"""SELECT zone, ts_utc, price_eur_mwh, {_KNOWN.replace(" ", ", ")}
+FROM ({_matrix_sql("wind_forecast_error_lag1,")}) m""",
+        "g hrs ws act l",
+        "hour_sin hour_cos weekday_sin weekday_cos residual_load_mw load_mw wind_total_mw "
+        "wind_capacity_factor solar_mw",
+        places=9,
+    ),
+)
+def _(spark, d):
+    matrix = features.feature_matrix(
+        market.prices(spark, d), market.load(spark, d), market.wind_solar(spark, d),
+        actuals=market.actuals(spark, d), flows=market.flows(spark, d), edges=market.edges(spark),
+        flow_labels=[("click", "view")],
+    )
+    names = [c for c in _MATRIX_DOUBLES.split() if "rolling" not in c]
+    return rounded(features.gate_closure_features(matrix), *names, places=9)
+
+
 _AVAILABLE = ", ".join(
     f"('{n}', '{w}')" for n, w in features.FEATURE_AVAILABILITY.items()
 )

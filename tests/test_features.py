@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 import pandas as pd
 from conftest import START, hours, to_pandas, to_spark
 from pyspark.sql import functions as F
@@ -138,6 +139,28 @@ def test_gate_closure(spark, prices):
     assert by_column == {f: features._known(a, 12) for f, a in features.FEATURE_AVAILABILITY.items()}
 
 
+def test_gate_closure_of_the_full_matrix(spark, prices):
+    p, _ = prices(60, zones=("A", "B"))
+    hourly = p.select("zone", "ts_utc")
+    matrix = features.feature_matrix(
+        p,
+        load=hourly.selectExpr("zone", "ts_utc", "5D AS load_mw"),
+        wind_solar=hourly.selectExpr("zone", "ts_utc", "1D AS wind_onshore_mw", "2D AS solar_mw"),
+        actuals=hourly.selectExpr("zone", "ts_utc", "3D AS wind_actual_mw"),
+        flows=hourly.where("zone = 'A'").selectExpr(
+            "'A' AS from_zone", "'B' AS to_zone", "ts_utc", "4D AS flow_mw"),
+        edges=spark.createDataFrame([("A", "B", 10)], "from_zone string, to_zone string, capacity_mw int"),
+        flow_labels=[("A", "B")],
+    )
+    late = set(matrix.columns) - set(features.gate_closure_features(matrix).columns)
+    assert late == {
+        "price_lag_1d", "price_rolling_7d_mean", "price_rolling_7d_std", "price_rolling_24h_min",
+        "price_rolling_24h_max", "wind_forecast_error_lag1", "flow_A_B_mw", "util_A_B_pct",
+    }
+    with pytest.raises(ValueError, match="surprise"):
+        features.gate_closure_features(matrix.withColumn("surprise", matrix["load_mw"]))
+
+
 def test_similar_day_rule(prices):
     df, pdf = prices(24 * 14, zones=("A",))
     got = to_pandas(features.similar_day(df))

@@ -352,13 +352,45 @@ def known_at_gate(availability: Column | str, gate_hour: int = 12) -> Column:
     return F.coalesce((text == "always") | (back > 1) | by_noon, F.lit(False))
 
 
+#: The availability rule that a column of the matrix falls under, where its name differs.
+RULE_OF_COLUMN = {
+    "price_rolling_24h_min": "price_rolling_7d_mean",
+    "price_rolling_24h_max": "price_rolling_7d_mean",
+    "load_mw": "load_forecast",
+    "wind_total_mw": "wind_forecast",
+    "wind_onshore_mw": "wind_forecast",
+    "wind_offshore_mw": "wind_forecast",
+    "wind_capacity_factor": "wind_forecast",
+    "solar_mw": "solar_forecast",
+    "residual_load_mw": "residual_load",
+}
+#: Column families, by prefix.
+RULE_OF_FAMILY = {"flow_": "cross_border_flow", "util_": "cross_border_flow"}
+
+
+def availability_of(column: str, availability: dict[str, str]) -> str | None:
+    """When a matrix column is known; None if no rule speaks of it."""
+    family = next((r for p, r in RULE_OF_FAMILY.items() if column.startswith(p)), None)
+    return availability.get(column, availability.get(RULE_OF_COLUMN.get(column, family)))
+
+
 def gate_closure_features(
-    matrix: DataFrame, availability: dict[str, str] | None = None, gate_hour: int = 12
+    matrix: DataFrame,
+    availability: dict[str, str] | None = None,
+    gate_hour: int = 12,
+    keys: Sequence[str] = ("zone", "ts_utc"),
+    target: str = PRICE,
 ) -> DataFrame:
-    """The matrix without columns listed as published after the gate."""
-    late = [n for n, when in (availability or FEATURE_AVAILABILITY).items()
-            if not _known(when, gate_hour)]
-    return matrix.drop(*late)
+    """The matrix without the columns published after the gate.
+
+    Every column but the keys and the target must have a rule, its own or that
+    of ``RULE_OF_COLUMN`` or its family; a column without one is an error.
+    """
+    rules = availability or FEATURE_AVAILABILITY
+    when = {c: availability_of(c, rules) for c in matrix.columns if c not in (*keys, target)}
+    if unknown := [c for c, w in when.items() if w is None]:
+        raise ValueError(f"no availability rule for {unknown}")
+    return matrix.drop(*[c for c, w in when.items() if not _known(w, gate_hour)])
 
 
 def _known(when: str, gate_hour: int) -> bool:
