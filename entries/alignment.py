@@ -193,6 +193,32 @@ def _(spark, d):
     return align.reconcile(rows, "wind_onshore_mw", PRIORITY)[1]
 
 
+def _repeated(rows, col):
+    """Every row twice; the later one, larger by 1000, must not count."""
+    later = rows.withColumn(col, F.col(col) + 1000).withColumn("ingested", F.lit(2))
+    return rows.withColumn("ingested", F.lit(1)).unionByName(later)
+
+
+@query("c09_reconcile_repeated_rows", sql(f"SELECT * FROM {_FILL}", "wsrc"))
+def _(spark, d):
+    rows = _repeated(market.wind_by_source(spark, d), "wind_onshore_mw")
+    return align.reconcile(rows, "wind_onshore_mw", PRIORITY, order="ingested")[0]
+
+
+@query(
+    "c07_compare_repeated_rows",
+    sql(
+        f"SELECT *, energinet - entsoe AS diff_energinet_entsoe FROM {_WIDE}",
+        "ps",
+        "diff_energinet_entsoe",
+    ),
+)
+def _(spark, d):
+    rows = _repeated(market.prices_by_source(spark, d), PRICE)
+    compared = align.compare_sources(rows, PRICE, PRIORITY, order="ingested")
+    return rounded(compared, "diff_energinet_entsoe")
+
+
 _PIVOT = ", ".join(f"max(price_eur_mwh) FILTER (WHERE zone = '{z}') AS {z}" for z in EVENT_ZONES)
 
 
@@ -201,6 +227,14 @@ def _(spark, d):
     return align.price_matrix(market.prices(spark, d), PRICE, EVENT_ZONES)
 
 
+@query(
+    "c10_price_matrix_repeated_rows", sql(f"SELECT ts_utc, {_PIVOT} FROM p GROUP BY ts_utc", "p")
+)
+def _(spark, d):
+    rows = _repeated(market.prices(spark, d), PRICE)
+    return align.price_matrix(rows, PRICE, EVENT_ZONES, order="ingested")
+
+
 @query(
     "c10_matrix_nulls",
     sql(

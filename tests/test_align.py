@@ -104,3 +104,15 @@ def test_price_matrix_drops_all_null_hours(spark):
     )
     m = align.price_matrix(to_spark(spark, pdf), "p", ["A", "B"])
     assert [tuple(r)[1:] for r in m.collect()] == [(1.0, 2.0)]
+
+
+def test_first_of_repeated_rows_counts(spark):
+    rows = [("a", "A", START, 10.0, 1), ("a", "A", START, 90.0, 2), ("b", "A", START, 5.0, 2),
+            ("b", "A", START, 4.0, 1), ("a", "B", START, None, 1), ("a", "B", START, 7.0, 2)]
+    df = spark.createDataFrame(rows, "source string, zone string, ts_utc timestamp_ntz, v double, seq int")
+    wide = {r.zone: r for r in align.compare_sources(df, "v", ["a", "b"], order="seq").collect()}
+    assert (wide["A"].a, wide["A"].b, wide["A"].diff_a_b) == (10.0, 4.0, 6.0) and wide["B"].a is None
+    filled, _ = align.reconcile(df.coalesce(1), "v", ["a", "b"])  # as read
+    assert {r.zone: r.v for r in filled.collect()} == {"A": 10.0, "B": None}
+    matrix = align.price_matrix(df.where("source = 'a'"), "v", ["A", "B"], order="seq").first()
+    assert (matrix.A, matrix.B) == (10.0, None)

@@ -141,19 +141,42 @@ def gaps(df: DataFrame, by: Sequence[str] = ("zone",)) -> DataFrame:
     return missing.select(*by, hour_ts("hour").alias("ts_utc"))
 
 
-def _per_source(df: DataFrame, col: str, sources: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """One value column per source; a map-side-combined fixed pivot."""
-    return df.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("source") == s, F.col(col))).alias(s) for s in sources],
+def _in_order(df: DataFrame, order: str | None) -> DataFrame:
+    """``df`` with ``_order``: the ingest order column, else the order of reading."""
+    return df.withColumn(
+        "_order", F.monotonically_increasing_id() if order is None else F.col(order)
+    )
+
+
+def _per_source(
+    df: DataFrame, col: str, sources: Sequence[str], keys: Sequence[str], order: str | None
+) -> DataFrame:
+    """One value column per source, of repeated rows the first; a map-side-combined
+    fixed pivot."""
+
+    def first(s: str):
+        mine = F.col("source") == s
+        return F.min_by(F.when(mine, F.col(col)), F.when(mine, F.col("_order"))).alias(s)
+
+    return _in_order(df, order).groupBy(*keys).agg(
+        *[first(s) for s in sources],
         *[F.max(F.when(F.col("source") == s, F.lit(1))).alias(f"_row_{s}") for s in sources],
     )
 
 
 def compare_sources(
-    df: DataFrame, col: str, sources: Sequence[str], keys: Sequence[str] = KEYS
+    df: DataFrame,
+    col: str,
+    sources: Sequence[str],
+    keys: Sequence[str] = KEYS,
+    order: str | None = None,
 ) -> DataFrame:
-    """Outer alignment of all sources with every pairwise difference."""
-    wide = _per_source(df, col, sources, keys).drop(*[f"_row_{s}" for s in sources])
+    """Outer alignment of all sources with every pairwise difference.
+
+    Of rows that repeat a source and key the first counts, by ``order`` if
+    given, else as read.
+    """
+    wide = _per_source(df, col, sources, keys, order).drop(*[f"_row_{s}" for s in sources])
     for a, b in combinations(sources, 2):
         wide = wide.withColumn(f"diff_{a}_{b}", F.col(a) - F.col(b))
     return wide
@@ -166,16 +189,20 @@ def reconcile(
     keys: Sequence[str] = KEYS,
     extend: bool = False,
     by: Sequence[str] = ("zone",),
+    order: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Primary source with its NULLs filled from the next sources in turn.
 
+    Of rows that repeat a source and key the first counts, as in
+    ``compare_sources``.
+
     The primary of a series is its first source with any row. By default hours
     absent from the primary are not added; ``extend=True`` keeps the union.
     Returns the filled rows with their ``provenance`` and a report
     ``by…, primary_source, provenance, hours``.
     """
     primary = _chosen_source(df, priority, by).withColumnRenamed("source", "primary_source")
-    wide = _per_source(df, col, priority, keys).join(primary, list(by))
+    wide = _per_source(df, col, priority, keys, order).join(primary, list(by))
 
     def of(source_prefix: str, otherwise):
         out = otherwise
@@ -235,11 +262,17 @@ def zone_sources(df: DataFrame, zones: DataFrame, priority: Sequence[str]) -> Da
     )
 
 
-def price_matrix(df: DataFrame, col: str, zones: Sequence[str]) -> DataFrame:
-    """One column per zone; hours at which every zone is NULL are dropped."""
-    wide = df.groupBy("ts_utc").agg(
-        *[F.max(F.when(F.col("zone") == z, F.col(col))).alias(z) for z in zones]
-    )
+def price_matrix(
+    df: DataFrame, col: str, zones: Sequence[str], order: str | None = None
+) -> DataFrame:
+    """One column per zone; hours at which every zone is NULL are dropped. Of
+    rows that repeat a zone and hour the first counts."""
+
+    def first(z: str):
+        mine = F.col("zone") == z
+        return F.min_by(F.when(mine, F.col(col)), F.when(mine, F.col("_order"))).alias(z)
+
+    wide = _in_order(df, order).groupBy("ts_utc").agg(*[first(z) for z in zones])
     return wide.where(F.coalesce(*[F.col(z) for z in zones]).isNotNull())
 
 
@@ -271,7 +304,9 @@ def training_rows(
     """Walk-forward membership: each row once per fold it trains.
 
     A row of day ``d`` trains the folds ``d+1 … d+window_days``; the range
-    predicate becomes an equi join on (series, fold day).
+    predicate becomes an equi join on (series, fold day). This is a report, with
+    ``window_days`` rows for each hour: models take the daily sums of
+    ``forecast.walk_forward`` instead.
     """
     folds = fold_days(df, day, window_days, by)
     fan = df.withColumn(
