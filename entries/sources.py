@@ -512,6 +512,28 @@ def _(spark, d):
     return exports.import_table(lines, "load_forecast", "Europe/Copenhagen")
 
 
+@query(
+    "a19_import_rejects",
+    sql(
+        f"""SELECT 'DayAheadPrices_' || code || '.csv' AS file,
+  CASE WHEN k = 0 THEN 'unreadable time' ELSE 'unreadable value' END AS reason,
+  count(*) AS n_lines
+FROM (SELECT *, CAST(epoch(ts_utc) AS BIGINT) // 3600 % 5 AS k FROM p)
+JOIN {_AREA_SQL} ON event_zone = zone WHERE k < 2 GROUP BY 1, 2""",
+        "p",
+    ),
+)
+def _(spark, d):
+    turn = F.pmod("line_no", F.lit(5))
+    broken = F.when(F.col("line_no") < 0, F.col("value")).when(
+        turn == 0, F.regexp_replace("value", "[0-9][0-9]:[0-9][0-9]", "noon")
+    ).when(turn == 1, F.regexp_replace("value", '"[^"]*"$', '"n/e"'))
+    lines = _price_lines(spark, d)
+    return exports.rejects(
+        lines.withColumn("value", F.coalesce(broken, "value")), "Europe/Copenhagen"
+    )
+
+
 @query(
     "a19_import_flows",
     sql(

@@ -157,6 +157,26 @@ def test_exported_files_of_every_kind(spark, tmp_path):
     assert (flow.from_zone, flow.to_zone, flow.flow_mw) == ("NO_2", "DK_1", -3.0)
 
 
+def test_every_zone_is_known_and_rejects_are_counted(spark, tmp_path):
+    for zone, _, code, *_ in dims.ZONES:
+        last = zone.rpartition("_")[2]
+        short = zone.replace("_", "" if last.isdigit() else "-")
+        write(tmp_path, f"Load_x_{code}.csv", "DateTime,Total Load\n2025-01-01 00:00,1\n")
+        write(tmp_path, f"load-{short}.csv", "DateTime,Total Load\n2025-01-01 01:00,2\n")
+        write(tmp_path, f"load_area_{zone}.csv".replace(zone, "z" + str(len(zone) * 31)),
+              f"DateTime,Area,Total Load\n2025-01-01 02:00,BZN|{short},3\n")
+    write(tmp_path, "load_dated.csv", "DateTime,Total Load\n2025-01-01 00:00,1\n")
+    write(tmp_path, "load_FI.csv", "DateTime,Total Load\nnoon,1\n2025-01-01 05:00,n/e\n2025-01-01 06:00,3\n")
+    write(tmp_path, "other_FI.csv", "DateTime,x\n2025-01-01 00:00,1\n")
+    out = exports.import_exports(spark, str(tmp_path), "UTC")
+    zones = {r.zone for r in out["load_forecast"].where("load_mw < 3").collect()}
+    assert zones == {z for z, *_ in dims.ZONES}
+    assert {(r.file, r.reason, r.n_lines) for r in out["rejects"].collect()} == {
+        ("load_dated.csv", "unknown area", 1), ("load_FI.csv", "unreadable time", 1),
+        ("load_FI.csv", "unreadable value", 1), ("other_FI.csv", "unknown data type", 1),
+    }
+
+
 def test_header_found_in_a_split_file(spark, tmp_path):
     lines = ["MTU,Day-ahead Price"] + [f"2025-01-{1 + i // 24:02d} {i % 24:02d}:00,{i}" for i in range(240)]
     write(tmp_path, "DK2.csv", "\n".join(lines))

@@ -12,16 +12,26 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.time import to_utc
 from tidegrid.operators.align import dedup
+from tidegrid.session import staged
+from tidegrid.sources.dims import ZONES
 
-# Area code → zone, in order of precedence.
-AREA_MAP = {
-    "NO2": "NO_2", "BZN|NO2": "NO_2", "10YNO-2--------T": "NO_2",
-    "SE3": "SE_3", "BZN|SE3": "SE_3", "10Y1001A1001A46L": "SE_3",
-    "SE4": "SE_4", "BZN|SE4": "SE_4", "10Y1001A1001A47J": "SE_4",
-    "DE-LU": "DE_LU", "BZN|DE-LU": "DE_LU", "10Y1001A1001A82H": "DE_LU",
-    "DK1": "DK_1", "BZN|DK1": "DK_1", "10YDK-1--------W": "DK_1",
-    "DK2": "DK_2", "BZN|DK2": "DK_2", "10YDK-2--------M": "DK_2",
-}
+#: Zones whose names are looked for first, in order of precedence (fixed values).
+FIRST_ZONES = ("NO_2", "SE_3", "SE_4", "DE_LU", "DK_1", "DK_2")
+
+
+def _area_codes() -> dict[str, str]:
+    """Area code -> zone: each zone's short name, the same as a bidding zone, and its code."""
+    codes = {zone: code for zone, _, code, *_ in ZONES}
+    out = {}
+    for zone in [*FIRST_ZONES, *(z for z in codes if z not in FIRST_ZONES)]:
+        last = zone.rpartition("_")[2]
+        short = zone.replace("_", "" if last.isdigit() else "-")
+        out |= {short: zone, f"BZN|{short}": zone, codes[zone]: zone}
+    return out
+
+
+AREA_MAP = _area_codes()
+# Header names of area and time columns.
 AREA_COLUMNS = ("Area", "MapCode", "AreaCode", "BiddingZone")
 TIME_COLUMNS = ("DateTime", "Date", "Time (UTC)", "Timestamp")
 DELIMITERS = ("\t", ",", ";")
@@ -85,18 +95,24 @@ def _any(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
+def _in_name(code: str) -> str:
+    """SQL: the file name has the code; one of letters only must stand by itself."""
+    if code.isalpha():
+        return f"upper(file) RLIKE '(^|[^A-Z0-9]){code}([^A-Z0-9]|$)'"
+    return f"contains(upper(file), '{code}')"
+
+
 def _zone_hits() -> str:
     """SQL array of the zones whose area code occurs in the file name."""
     return "array(" + ", ".join(
-        f"CASE WHEN contains(upper(file), '{code}') THEN '{zone}' END"
-        for code, zone in AREA_MAP.items()
+        f"CASE WHEN {_in_name(code)} THEN '{zone}' END" for code, zone in AREA_MAP.items()
     ) + ")"
 
 
 def zone_from_file() -> Column:
     """First known area code contained in ``file``; a ``|`` may read ``_``."""
     hits = ", ".join(
-        f"CASE WHEN {_any('upper(file)', {code, code.replace('|', '_')})} THEN '{zone}' END"
+        f"CASE WHEN {_in_name(code)} OR {_in_name(code.replace('|', '_'))} THEN '{zone}' END"
         for code, zone in AREA_MAP.items()
     )
     return F.expr(f"coalesce({hits})")
@@ -231,14 +247,9 @@ def import_table(
     ``datatype`` is ``day_ahead_prices``, ``wind_solar_forecast``,
     ``load_forecast`` or ``flow``. Lines without a known zone or readable time
     are left out; rows whose value does not read as a number too, except that a
-    wind/solar series absent from the header is 0.
+    wind/solar series absent from the header is 0. ``rejects`` counts them.
     """
-    file_type, values = {
-        "day_ahead_prices": ("prices", {"price_eur_mwh": _value("price_at")}),
-        "load_forecast": ("load", {"load_mw": _value("load_at")}),
-        "flow": ("flow", {"flow_mw": _value("flow_at")}),
-        "wind_solar_forecast": ("generation", {k: _kind(k) for k in KINDS}),
-    }[datatype]
+    file_type, values = _tables()[datatype]
     keys = ["from_zone", "to_zone", "ts_utc"] if datatype == "flow" else ["zone", "ts_utc"]
     rows = classified(lines, source_tz, file_type).where("zone IS NOT NULL")
     picked = rows.select(
@@ -250,6 +261,41 @@ def import_table(
     return dedup(whole, "_seq", "last", ["source", *keys]).drop("_seq")
 
 
+def _tables() -> dict[str, tuple[str, dict[str, Column]]]:
+    """Stored table -> the files' data type and the value columns."""
+    return {
+        "day_ahead_prices": ("prices", {"price_eur_mwh": _value("price_at")}),
+        "load_forecast": ("load", {"load_mw": _value("load_at")}),
+        "flow": ("flow", {"flow_mw": _value("flow_at")}),
+        "wind_solar_forecast": ("generation", {k: _kind(k) for k in KINDS}),
+    }
+
+
+def rejects(lines: DataFrame, source_tz: str) -> DataFrame:
+    """Data lines that no table takes: ``file, reason, n_lines``."""
+    rows = classified(lines, source_tz)
+    whole = F.lit(True)
+    for datatype, (file_type, values) in _tables().items():
+        if datatype != "wind_solar_forecast":
+            known = F.coalesce(*values.values()).isNotNull()
+            whole = F.when(F.col("data_type") == file_type, known).otherwise(whole)
+    no_area = F.when(
+        F.col("data_type") == "flow", F.col("from_zone").isNull() | F.col("to_zone").isNull()
+    ).otherwise(F.col("zone").isNull())
+    reason = (
+        F.when(F.col("data_type") == "unknown", "unknown data type")
+        .when(no_area, "unknown area")
+        .when(F.col("ts_utc").isNull(), "unreadable time")
+        .when(~whole, "unreadable value")
+    )
+    return (
+        rows.withColumn("reason", reason)
+        .where("reason IS NOT NULL")
+        .groupBy("file", "reason")
+        .agg(F.count(F.lit(1)).alias("n_lines"))
+    )
+
+
 def _kind(name: str) -> Column:
     return F.expr(
         f"CASE WHEN {name}_at IS NULL THEN 0D ELSE try_cast({_cell(name + '_at')} AS DOUBLE) END"
@@ -257,7 +303,11 @@ def _kind(name: str) -> Column:
 
 
 def import_exports(spark: SparkSession, path: str, source_tz: str) -> dict[str, DataFrame]:
-    """All exported files under ``path`` as canonical tables."""
-    lines = read_lines(spark, path)
-    names = ("day_ahead_prices", "wind_solar_forecast", "load_forecast", "flow")
-    return {name: import_table(lines, name, source_tz) for name in names}
+    """All exported files under ``path`` as canonical tables, and ``rejects``.
+
+    The text is read once: lines are written with their place, and the tables
+    come from that.
+    """
+    lines = staged(read_lines(spark, path), "export-lines")
+    out = {name: import_table(lines, name, source_tz) for name in _tables()}
+    return out | {"rejects": rejects(lines, source_tz)}

@@ -155,13 +155,18 @@ def normalise_weather(payloads: DataFrame, source_tz: str = WEATHER_TZ) -> DataF
     # a variable the document lacks zips as an empty array, which pads with NULL
     absent = F.array().cast("array<double>")
     values = [F.coalesce(F.col(f"h.{n}"), absent).alias(n) for n in names]
-    rows = payloads.select("zone", hourly.alias("h")).select(
-        "zone",
-        F.col("h.time").alias("_times"),
-        F.posexplode(F.arrays_zip(F.col("h.time").alias("time"), *values)).alias("_at", "_r"),
+    # hours stand in order, so a repeated one follows its first occurrence
+    again = F.expr("transform(times, (t, i) -> i > 0 AND t = get(times, i - 1))").alias("again")
+    rows = (
+        payloads.select("zone", hourly.alias("h"))
+        .withColumn("times", F.col("h.time"))
+        .select(
+            "zone",
+            F.explode(F.arrays_zip(F.col("times").alias("time"), again, *values)).alias("_r"),
+        )
     )
     local = F.try_to_timestamp(F.col("_r.time"), F.lit("yyyy-MM-dd'T'HH:mm")).cast("timestamp_ntz")
-    repeated = F.array_position(F.col("_times"), F.col("_r.time")) <= F.col("_at")
+    repeated = F.col("_r.again")
     one_hour = F.expr("INTERVAL 1 HOUR")
     utc = to_utc(local, source_tz)
     # the earlier reading of an ambiguous local hour is the one before the change

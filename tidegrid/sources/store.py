@@ -80,8 +80,15 @@ def _replace(df: DataFrame, root: str, datatype: str, keys: Sequence[str]) -> No
     """
     spark = df.sparkSession
     new = staged(with_month(df), f"new-{datatype}")
-    touched = new.select(*PARTITIONS).distinct()
-    old = read_series(spark, root, datatype).join(touched, list(PARTITIONS), "left_semi")
+    # as many rows as directories are replaced; as a predicate they prune the scan
+    touched = new.select(*PARTITIONS).distinct().na.drop().collect()
+    months: dict[str, list[str]] = {}
+    for r in touched:
+        months.setdefault(r["source"], []).append(r["month"])
+    here = F.lit(False)
+    for source, of_source in sorted(months.items()):
+        here = here | ((F.col("source") == source) & F.col("month").isin(*sorted(of_source)))
+    old = read_series(spark, root, datatype).where(here)
     merged = staged(merge_series(old, new, keys), f"merged-{datatype}")
     (
         merged.repartitionByRange(*PARTITIONS, "zone", "ts_utc")
