@@ -115,3 +115,17 @@ def test_null_share_and_week_means(spark):
     df = to_spark(spark, pdf)
     assert profiles.null_share(df, ["x"]).first().null_pct == 50.0
     assert str(profiles.resample_mean(df, "week", "x").first().period) == "2025-01-12"
+
+
+def test_one_extreme_value_leaves_bins_even(spark):
+    from tidegrid.operators.quantiles import BINS, exact_quantiles
+
+    values = [float(v) for v in np.random.default_rng(0).uniform(0, 100, 20_000)] + [1e9]
+    df = spark.createDataFrame([("A", v) for v in values], "zone string, v double")
+    got = {r.prob: r.quantile for r in exact_quantiles(df, "v", [0.1, 0.5, 0.999]).collect()}
+    for p, q in got.items():
+        np.testing.assert_allclose(q, np.quantile(values, p), rtol=1e-12)
+    cuts = df.selectExpr(
+        f"percentile_approx(v, array({', '.join(str(i / BINS) + 'D' for i in range(1, BINS))}), {20 * BINS}) AS c")
+    held = df.crossJoin(cuts).groupBy(F.expr("size(filter(c, x -> x <= v))")).count()
+    assert held.agg(F.max("count")).first()[0] < 0.03 * len(values)

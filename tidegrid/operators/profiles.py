@@ -13,6 +13,7 @@ from tidegrid.operators.align import edge_prices
 from tidegrid.operators.blocks import hours_back, trailing
 from tidegrid.operators.quantiles import quantile_columns
 from tidegrid.operators.screen import calendar_parts, clip_to_quantiles
+from tidegrid.session import staged
 
 PRICE = "price_eur_mwh"
 
@@ -384,14 +385,21 @@ WEIGHTS = {"cv_price": 0.35, "neg_pct": 0.25, "entry_cost_eur": 0.20, "data_scor
 
 def attractiveness(metrics: DataFrame) -> DataFrame:
     """Min–max normalised metrics (cost inverted; constant → 0.5) and the
-    weighted score. The extremes come from one-row scalar subqueries."""
-    out = metrics
-    for name, invert in (("cv_price", False), ("neg_pct", False), ("entry_cost_eur", True)):
-        lo = metrics.agg(F.min(name)).scalar()
-        hi = metrics.agg(F.max(name)).scalar()
+    weighted score. The per-zone table is written once; one aggregation of it
+    gives all extremes."""
+    scored = (("cv_price", False), ("neg_pct", False), ("entry_cost_eur", True))
+    table = staged(metrics, "zone-metrics")
+    ends = table.agg(
+        *[F.min(n).alias(f"_lo_{n}") for n, _ in scored],
+        *[F.max(n).alias(f"_hi_{n}") for n, _ in scored],
+    )
+    out = table.join(F.broadcast(ends))  # one row
+    for name, invert in scored:
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         unit = (F.col(name) - lo) / F.nullif(hi - lo, F.lit(0.0))
         unit = F.lit(1.0) - unit if invert else unit
         out = out.withColumn(f"{name}_norm", F.coalesce(unit, F.lit(0.5)))
+    out = out.drop(*ends.columns)
     flags = F.col("has_wind_solar").cast("double") + F.col("has_load").cast("double")
     out = out.withColumn("data_score", flags / 2)
     return out.withColumn(

@@ -1,8 +1,9 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact percentile keeps every distinct value of a group in one
-buffer. Here equal values are first counted, each group is cut into equal-width
-bins, and only the bins that hold a wanted rank are sorted.
+buffer. Here equal values are first counted, each group is cut into bins at
+approximate quantiles, so that they hold about equal shares whatever the values,
+and only the bins that hold a wanted rank are sorted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+BINS = 64
 
 
 def exact_quantiles(
@@ -27,14 +28,12 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    span = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-    )
-    place = F.floor(
-        (F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * BINS
-    )
-    binned = counted.join(span, keys).withColumn(
-        "_bin", F.least(F.coalesce(place, F.lit(0)), F.lit(BINS - 1))
+    cuts = F.percentile_approx("_v", [i / BINS for i in range(1, BINS)], 20 * BINS)
+    span = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), cuts.alias("_cuts"))
+    binned = (
+        counted.join(span, keys)
+        .withColumn("_bin", F.expr("size(filter(_cuts, c -> c <= _v))"))
+        .drop("_cuts")
     )
 
     wanted = F.array(
