@@ -133,6 +133,8 @@ def linked_groups(
     spark = members.sparkSession
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = staged(members.join(sizes, "bucket"), f"{label}-members")
+    if rows.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
     score = rows.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score"))
     rows = staged(
         rows.join(score, "node").select("bucket", "node", "info", "score"), f"{label}-scored"
@@ -202,11 +204,14 @@ def linked_groups(
             ).distinct(),
             f"{label}-pairs",
         )
-        measured = staged(verify(pairs), f"{label}-links")
-        first_pairs = measured if turn == 0 else first_pairs
-        found = measured.where("linked") if "linked" in measured.columns else measured
+        if pairs.isEmpty():
+            found, first_hubs = pairs, None if turn == 0 else first_hubs
+        else:
+            measured = staged(verify(pairs), f"{label}-links")
+            first_pairs = measured if turn == 0 else first_pairs
+            found = measured.where("linked") if "linked" in measured.columns else measured
         found = found.select("a", "b")
         links = found if links is None else links.union(found)
         if turn < star_rounds:
             groups = components(links, label)
-    return links if links is not None else spark.createDataFrame([], "a long, b long")
+    return links
