@@ -34,7 +34,7 @@ def test_linked_groups_lose_no_link_between_groups(spark, star_rounds):
     members = [(b, n, n) for n in nodes for b in (n // 20, (n + 10) // 20 + 100)] + [(999, n, n) for n in nodes]
     frame = spark.createDataFrame(members, "bucket long, node long, info long")
     links = linked_groups(
-        frame, lambda p: p.where("b - a <= 3"), "t", F.abs(F.col("info_a") - F.col("info_b")) < 9,
+        frame.select("bucket", "node"), frame.select("node", "info").distinct(), lambda p: p.where("b - a <= 3"), "t", F.abs(F.col("info_a") - F.col("info_b")) < 9,
         star_rounds,
     ).collect()
     want, got = Groups(nodes), Groups(nodes)

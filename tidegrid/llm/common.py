@@ -104,10 +104,11 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 def linked_groups(
     members: DataFrame,
+    infos: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     label: str,
     meet: Column | None = None,
-    star_rounds: int = 2,
+    star_rounds: int = 1,
     group_info: Column | None = None,
     groups_meet: Column | None = None,
     group_slice: Column | None = None,
@@ -115,7 +116,8 @@ def linked_groups(
 ) -> DataFrame:
     """All links that decide the connected groups, without all pairs of a bucket.
 
-    ``members`` (bucket, node, info): any two linked nodes share a bucket. ``verify`` turns distinct
+    ``members`` (bucket, node): any two linked nodes share a bucket; ``infos`` (node, info) says
+    something about each node, for the conditions. ``verify`` turns distinct
     candidate pairs (a, b), a < b, into the linked ones, or marks them in a column ``linked`` beside
     other columns. ``meet`` is a cheap necessary condition on
     the columns ``info_a`` and ``info_b``; ``groups_meet`` is one on ``groups_a`` and ``groups_b``,
@@ -137,7 +139,7 @@ def linked_groups(
         return spark.createDataFrame([], "a long, b long")
     score = rows.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score"))
     rows = staged(
-        rows.join(score, "node").select("bucket", "node", "info", "score"), f"{label}-scored"
+        rows.join(score, "node").select("bucket", "node", "score"), f"{label}-scored"
     )
     links = groups = first_hubs = first_pairs = None
     for turn in range(star_rounds + 1):
@@ -145,7 +147,7 @@ def linked_groups(
             mixed = rows.withColumn("group", F.col("node"))
         else:
             now = rows.join(groups, "node", "left").select(
-                "bucket", "node", "info", "score", F.coalesce("component", "node").alias("group")
+                "bucket", "node", "score", F.coalesce("component", "node").alias("group")
             )
             open_ = (
                 now.groupBy("bucket")
@@ -159,7 +161,7 @@ def linked_groups(
         if turn < star_rounds:
             rank = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
             hubs = mixed.groupBy("bucket").agg(
-                F.max(F.struct(rank.alias("rank"), "node", "info", "group")).alias("hub")
+                F.max(F.struct(rank.alias("rank"), "node", "group")).alias("hub")
             )
             if turn == 0 and refine is not None:
                 hubs = staged(hubs, f"{label}-hubs")
@@ -167,12 +169,16 @@ def linked_groups(
             pairs = (
                 mixed.join(hubs, "bucket")
                 .where("group != hub.group")
-                .select(
-                    "node", F.col("hub.node").alias("other"), F.col("info").alias("info_a"),
-                    F.col("hub.info").alias("info_b"),
-                )
+                .select("node", F.col("hub.node").alias("other"))
+                .distinct()
             )
+            if meet is not None:
+                second = infos.select(F.col("node").alias("other"), F.col("info").alias("info_b"))
+                pairs = pairs.join(infos.withColumnRenamed("info", "info_a"), "node").join(
+                    second, "other"
+                )
         else:
+            mixed = mixed.join(infos, "node")
             if first_hubs is not None:
                 mixed = refine(mixed.join(first_hubs, "bucket"), first_pairs)
                 mixed = staged(mixed, f"{label}-refined")

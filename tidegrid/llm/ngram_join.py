@@ -263,9 +263,9 @@ def ngram_components(
     info = lambda n, most, hub, rest: F.named_struct(
         F.lit("n"), n, F.lit("most"), most, F.lit("hub"), hub, F.lit("rest"), rest
     ).alias("info")
-    members = heads.select(
-        F.explode("buckets").alias("bucket"), F.col("class").alias("node"),
-        info(F.col("n"), most, most, most),
+    members = heads.select(F.explode("buckets").alias("bucket"), F.col("class").alias("node"))
+    infos = staged(
+        heads.select(F.col("class").alias("node"), info(F.col("n"), most, most, most)), "ngram-infos"
     )
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def ngram_components(
 
     top = lambda part: F.max(f"info.{part}")
     links = linked_groups(
-        members, verify, "ngram", fits("info_a", "info_b"), 2,
+        members, infos, verify, "ngram", fits("info_a", "info_b"), 1,
         info(F.min("info.n"), top("most"), top("hub"), top("rest")),
         fits("groups_a", "groups_b"),
         F.xxhash64("info.n", F.floor(32 * F.col("info.hub") / F.col("info.n")),
