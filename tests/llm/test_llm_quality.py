@@ -31,7 +31,7 @@ def test_measures_and_bits_match_brute_force(spark):
 def test_policies_and_ablations(spark):
     rows = quality.ledger(frame(spark, TEXTS)).cache()
     bits = [failures(measures(t)) for t in TEXTS]
-    kept = quality.apply_policy(rows, quality.POLICIES["v1"]).where("kept").count()
+    kept = quality.keep_passing(rows, quality.POLICIES["v1"]).count()
     assert kept == sum(b & 7 == 0 for b in bits)
     table = {(r.policy, r.rule): r for r in quality.ablations(rows).collect()}
     for version, rules in quality.POLICIES.items():

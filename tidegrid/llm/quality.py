@@ -110,6 +110,16 @@ def apply_policy(kept: DataFrame, rules) -> DataFrame:
     return kept.withColumn("kept", F.col("failed_bits").bitwiseAND(F.lit(mask(rules))) == 0)
 
 
+def keep_passing(rows: DataFrame, rules) -> DataFrame:
+    """The rows of a ledger that no rule of the policy rejects.
+
+    The verdict passes through a generator of one row: a plain filter would be pushed below the
+    measurements, and repeat their work inside its condition.
+    """
+    judged = apply_policy(rows, rules)
+    return judged.withColumn("kept", F.explode_outer(F.array("kept"))).where("kept")
+
+
 def ablations(rows: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES) -> DataFrame:
     """Per policy and rule: rejected by the policy, failed by the rule, rejected by it alone.
 
