@@ -25,6 +25,8 @@ fall together with odds of 2^-64.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,6 +38,8 @@ from tidegrid.llm.common import components, linked_groups, small_side, staged
 FIRST = 0.28
 #: Fragments in which a pair's overlap is counted.
 PARTS = 4
+#: Slices in which the pairs inside a bucket are dealt when links are counted.
+SALTS = 8
 #: Words a worker remembers the hash of.
 CACHE_WORDS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -186,15 +190,40 @@ def _fragments(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return staged(found.withColumn("row", F.monotonically_increasing_id()), "ngram-fragments")
 
 
+def _linked_rows(
+    members: DataFrame, infos: DataFrame, groups: DataFrame, copies: DataFrame,
+    verify: Callable[[DataFrame], DataFrame], meet: F.Column,
+) -> DataFrame:
+    """(class, others): rows of the other classes that a class is linked to, by all pairs of a bucket
+    and group. Buckets are dealt in SALTS slices, so that a hot one is many tasks."""
+    rows = members.join(groups, "node").join(infos, "node")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    side = lambda x, y: [F.col("node").alias(x), F.col("info").alias(y), "bucket", "component", "salt"]
+    pairs = (
+        left.select(*side("a", "info_a"))
+        .join(right.select(*side("b", "info_b")), ["bucket", "component", "salt"])
+        .where(F.col("a") < F.col("b")).where(meet)
+        .select("a", "b").distinct()
+    )
+    links = staged(verify(staged(pairs, "ngram-inside")).where("linked").select("a", "b"), "ngram-linked")
+    both = links.union(links.select("b", "a"))
+    return both.join(copies.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(
+        F.sum("copies").alias("others")
+    )
+
+
 def ngram_components(
     docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, text: str = "text",
-    doc_id: str = "doc_id",
+    doc_id: str = "doc_id", count_links: bool = True,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``.
 
     Two documents link when the Jaccard similarity of their sets is at least num / den. n_links
-    counts the other classes that a document's class was found linked to on the way; a group is
-    connected by these, not listed in full. component_id is the smallest doc_id reachable, the own
+    counts the other rows that a row is linked to, copies of its own set included: all candidate
+    pairs inside a group are verified, which grows with the square of its different sets. Without
+    ``count_links`` there is no n_links and only the links that connect groups are looked for.
+    component_id is the smallest doc_id reachable, the own
     one where there is no link. A null or empty text has no n-grams and links with nothing. Rows that
     repeat a doc_id are linked as one document would be. A row without an id takes part like any
     other but is never the smallest; alone its component_id is null. An empty table gives no rows.
@@ -312,12 +341,17 @@ def ngram_components(
     )
     links = staged(links.distinct(), "ngram-all-links")
     groups = components(links, "ngram")
-    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").count()
-    found = staged(
-        groups.join(degree, groups["node"] == degree["a"])
-        .select(F.col("node").alias("class"), "component", F.col("count").alias("n_links")),
-        "ngram-groups",
-    )
+    found = groups.select(F.col("node").alias("class"), "component")
+    if count_links:
+        copies = sets.where("n > 0").groupBy("class").agg(F.count("*").alias("copies"))
+        linked = _linked_rows(members, infos, groups, copies, verify, fits("info_a", "info_b"))
+        own = copies.join(linked, "class", "left").select(
+            "class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+        )
+        found = own.join(found, "class", "left")
+    else:
+        found = found.withColumn("n_links", F.lit(0).cast("long"))
+    found = staged(found, "ngram-groups")
     known = sets.where("n > 0").select("doc_id", "n", "class").join(found, "class", "left").select(
         "doc_id", "n", F.coalesce("component", "class").alias("group"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
@@ -327,9 +361,10 @@ def ngram_components(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
         F.lit(0).cast("long").alias("n_links"),
     )
-    return known.join(smallest, "group").select(
+    rows = known.join(smallest, "group").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"
     ).union(empty)
+    return rows if count_links else rows.drop("n_links")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
@@ -337,7 +372,7 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat a doc_id stay or go together; rows without an id stay.
     """
-    found = ngram_components(docs.select("doc_id", "text"), **options)
+    found = ngram_components(docs.select("doc_id", "text"), count_links=False, **options)
     gone = staged(
         found.where("doc_id != component_id").select("doc_id").distinct(), "ngram-gone"
     )
