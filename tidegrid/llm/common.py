@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidegrid.session import staged as _staged
 
@@ -42,7 +43,7 @@ def with_columns(df: DataFrame, schema: str, fn: Callable) -> DataFrame:
     """
     import pyarrow as pa
 
-    new = [p.split()[0] for p in schema.split(",")]
+    new = StructType.fromDDL(schema).names
     kept = [c for c in df.columns if c not in new]
     fields = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept]
