@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "kd_shards", "packing", "line_dedup", "url_rules", "warc", "bpe", "vector_dedup", "quality", "periodic_runs")
+MODULES = ("ngram_join", "kd_shards", "packing", "line_dedup", "url_rules", "warc", "bpe", "vector_dedup", "quality", "periodic_runs", "token_alignment", "substring_dedup")
 
 
 def all_queries() -> dict:
