@@ -34,7 +34,9 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_query_matches_brute_force(spark):
+@pytest.mark.parametrize("chunk_bytes", [4_000_000, 3_000])
+def test_query_matches_brute_force(spark, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(sd, "CHUNK_BYTES", chunk_bytes)
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
     want = [(i, n, gone, sha(kept)) for (i, _), (n, gone, kept) in zip(rows, brute(rows, 20))]
     assert sum(w[2] > 0 for w in want) > 10

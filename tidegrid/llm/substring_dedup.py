@@ -2,11 +2,12 @@
 
 Documents are numbered in chunks of about CHUNK_BYTES. A worker recompresses the words of a chunk
 (``recompression``): equal passages get equal symbols except near their ends. Each window of words is
-stood for by one symbol that its own words decide, wherever the window occurs. A first Spark round
-counts these symbols over the corpus; a window whose symbol occurs once can't be repeated, and all
-others are verified by two 64-bit hashes of their whole word sequence in a second round, which keeps
-the first occurrence of each. Both rounds shuffle a symbol or window once for each chunk that holds
-it, so that thousands of copies of a passage cost a row per chunk and no pairs are formed.
+stood for by one symbol that its own words decide, wherever the window occurs, and windows in a row
+with the same symbol are a bundle. A first Spark round brings the bundles of a symbol together:
+symbols that occur once reveal windows that can't be repeated, and a bundle with the words of an
+earlier one is repeated as a whole. Only where bundles of a symbol differ, at the ends of repeats,
+a second round compares single windows. Both rounds send a bundle or window once for each chunk that
+holds it, so that thousands of copies of a passage cost a row per chunk and no pairs are formed.
 """
 
 from __future__ import annotations
@@ -102,10 +103,6 @@ class Chunk:
             todo = todo[~known]
         return key, mark
 
-    def window_hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = self.at[chosen]
-        return tuple(h(start, start + self.window).view(np.int64) for h in self.hashes)
-
 
 def rounds_for(window: int) -> int:
     """Rounds after which most windows still decide a symbol (each makes symbols a third longer)."""
@@ -121,6 +118,18 @@ def _numbers(table, column: str) -> np.ndarray:
     return table.column(column).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
 
 
+def _column(table, name: str) -> list:
+    return table.column(name).to_pylist() if table.num_rows else []
+
+
+def _ranges(parts: list[tuple[int, int]]) -> np.ndarray:
+    """All numbers of (start, size) stretches."""
+    if not parts:
+        return np.zeros(0, np.int64)
+    start, size = np.array(parts, np.int64).T
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def _by_id(table, doc_id: str, row: str) -> list[int]:
     """Rows of a chunk by id (null last), then as they were read."""
     ids, rows = table.column(doc_id).to_pylist(), table.column(row).to_pylist()
@@ -173,32 +182,89 @@ def numbered(docs: DataFrame, text: str, chunk: str, row: str) -> DataFrame:
     return source.mapInArrow(run, f"{fields}, `{chunk}` long, `{row}` long")
 
 
-def symbol_counts(rows: DataFrame, text: str, chunk: str, window: int, rounds: int) -> DataFrame:
-    """(chunk, key, n): the symbols that stand for a chunk's windows, and their occurrences in it."""
+def bundles(rows: DataFrame, text: str, doc_id: str, chunk: str, row: str, window: int, rounds: int) -> DataFrame:
+    """(chunk, row, doc_id, place, size, key, words, n, again): the distinct bundles of each chunk.
+
+    ``place`` and ``size`` are the first window and the number of windows of the first occurrence in
+    the chunk, ``key`` names the symbol, ``words`` is a hash of all words of the bundle, and
+    ``again`` holds (row, place) of the other occurrences in the chunk.
+    """
     import pyarrow as pa
 
-    def count(number: int, texts: list[bytes]):
-        key, mark = Chunk(texts, window).symbols(rounds)
-        _, first = np.unique(mark, return_index=True)
-        found, n = np.unique(key[first], return_counts=True)
+    id_type = rows.schema[doc_id].dataType.simpleString()
+
+    def bundle(number: int, parts: list):
+        table = pa.Table.from_batches(parts)
+        by = _by_id(table, doc_id, row)
+        c = Chunk([(t or "").encode() for t in table.column(text).take(pa.array(by, pa.int64())).to_pylist()], window)
+        key, mark = c.symbols(rounds)
+        m = len(key)
+        first = np.flatnonzero(np.r_[True, (mark[1:] != mark[:-1]) | (c.doc[1:] != c.doc[:-1])][:m])
+        size = np.diff(np.r_[first, m])
+        key, at = key[first], c.at[first]
+        words = mix(c.hashes[1](at, at + size - 1 + window) ^ mix(size.astype(np.uint64)))
+        order = np.lexsort((words, key))  # stable: equal bundles stay in order
+        fresh = np.r_[True, (key[order][1:] != key[order][:-1]) | (words[order][1:] != words[order][:-1])][:len(order)]
+        heads = np.flatnonzero(fresh)
+        n = np.diff(np.r_[heads, len(order)])
+        number_of = np.array(table.column(row).to_pylist(), np.int64)[by] if by else np.zeros(0, np.int64)
+        doc, place = c.doc[first], c.place[first]
+        spots = np.column_stack([number_of[doc], place])[order].astype("<u4") if m else np.zeros((0, 2), "<u4")
+        again = [
+            spots[h + 1 : h + k].tobytes() if k > 1 else None for h, k in zip(heads.tolist(), n.tolist(), strict=True)
+        ]
+        kept = order[heads]
+        ids = table.column(doc_id).take(pa.array(by, pa.int64())).combine_chunks()
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(found), number)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))],
-            names=["chunk", "key", "n"],
+            [
+                pa.array(np.full(len(kept), number, np.int64)), pa.array(number_of[doc[kept]]),
+                ids.take(pa.array(doc[kept], pa.int64())), pa.array(place[kept]), pa.array(size[kept]),
+                pa.array(key[kept].view(np.int64)), pa.array(words[kept].view(np.int64)),
+                pa.array(n.astype(np.int64)), pa.array(again, pa.binary()),
+            ],
+            names=["chunk", "row", "id", "place", "size", "key", "words", "n", "again"],
         )
 
     def run(batches):
-        now, texts = None, []
+        now, parts = None, []
         for batch in batches:
-            for number, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if number != now and texts:
-                    yield count(now, texts)
-                    texts = []
-                now = number
-                texts.append((t or "").encode())
-        if texts:
-            yield count(now, texts)
+            numbers = np.array(batch.column(0).to_pylist(), np.int64)
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x == y:
+                    continue
+                if numbers[x] != now and parts:
+                    yield bundle(now, parts)
+                    parts = []
+                now = int(numbers[x])
+                parts.append(batch.slice(x, y - x))
+        if parts:
+            yield bundle(now, parts)
+
+    source = rows.select(*(F.col(f"`{c}`") for c in (chunk, row, doc_id, text)))
+    return source.mapInArrow(
+        run,
+        f"chunk long, row long, id {id_type}, place long, size long, key long, words long, n long, again binary",
+    )
 
-    return rows.select(F.col(f"`{chunk}`"), F.col(f"`{text}`")).mapInArrow(run, "chunk long, key long, n long")
+
+def repeated_bundles(found: DataFrame) -> DataFrame:
+    """The bundles that say something: repeats of an earlier one, and those to compare by windows.
+
+    ``later`` marks bundles whose words start earlier; ``open`` the first occurrence of bundles whose
+    symbol also stands for other windows. Others stay only for their occurrences ``again``.
+    """
+    of_key = Window.partitionBy("key")
+    in_order = Window.partitionBy("key", "words").orderBy(F.col("id").asc_nulls_last(), "chunk", "row", "place")
+    counted = found.withColumns({
+        "all": F.sum("n").over(of_key), "lo": F.min("words").over(of_key), "hi": F.max("words").over(of_key),
+    }).where("all > 1")
+    told = counted.withColumn("later", F.row_number().over(in_order) > 1).withColumn(
+        "open", ~F.col("later") & (F.col("lo") != F.col("hi"))
+    )
+    return told.where("later OR open OR again IS NOT NULL").select(
+        "chunk", "row", "place", "size", "again", "later", "open"
+    )
 
 
 def _new_names(taken: list[str], *wanted: str) -> list[str]:
@@ -239,10 +305,7 @@ def drop_repeats(
         [*columns, "n_words", "n_removed", last], "chunk", "row", "local", "place", "h1", "h2"
     )
     rows = numbered(docs, text, chunk, row)
-    once = symbol_counts(rows, text, chunk, window, rounds)
-    shared = (
-        once.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("all > 1").select("chunk", "key")
-    )
+    told = repeated_bundles(bundles(rows, text, doc_id, chunk, row, window, rounds))
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     new = {
         chunk: "long", row: "long", "n_words": "long", "n_removed": "long", last: "string",
@@ -251,55 +314,71 @@ def drop_repeats(
     both = [c for c in columns if c != last]
     schema = ", ".join(f"`{c}` {t}" for c, t in {**{c: types[c] for c in both}, **new}.items())
 
-    def verify(table, keys):
+    def verify(table, told):
         table = table.take(pa.array(_by_id(table, doc_id, row), pa.int64()))
-        c = Chunk(_texts(table, text), window)
-        key = c.symbols(rounds)[0].view(np.int64)
-        wanted = np.sort(_numbers(keys, "key"))
-        near = np.searchsorted(wanted, key)
-        open_ = np.flatnonzero(wanted[np.minimum(near, len(wanted) - 1)] == key) if len(wanted) else np.zeros(0, np.int64)
-        a, b = c.window_hashes(open_)
+        where = {r: k for k, r in enumerate(table.column(row).to_pylist())}
+        starts: dict[int, list] = {}
+        waits: dict[int, list] = {}
+        for r, p, size, again, later, open_ in zip(
+            *(_column(told, c) for c in ("row", "place", "size", "again", "later", "open")), strict=True
+        ):
+            if later:
+                starts.setdefault(where[r], []).append((p, size))
+            if open_:
+                waits.setdefault(where[r], []).append((p, size))
+            if again:
+                for x, y in np.frombuffer(again, "<u4").reshape(-1, 2).tolist():
+                    starts.setdefault(where[x], []).append((y, size))
+        texts = _texts(table, text)
+        chosen = sorted(waits)
+        c = Chunk([texts[k] for k in chosen], window)
+        parts = [(c.begin[j] + p, size) for j, k in enumerate(chosen) for p, size in sorted(waits[k])]
+        at = _ranges(parts)
+        doc = np.repeat(np.searchsorted(c.begin, [p for p, _ in parts], "right") - 1, [n for _, n in parts])
+        a, b = (h(at, at + window).view(np.int64) for h in c.hashes)
         by = np.lexsort((b, a))  # stable: equal windows stay in order
-        fresh = np.r_[True, (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])] if len(by) else np.zeros(0, bool)
+        fresh = np.r_[True, (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])][:len(by)]
         ahead, again = np.sort(by[fresh]), np.sort(by[~fresh])
-        waits = np.zeros(table.num_rows, bool)
-        waits[c.doc[open_]] = True
-        done = [
-            (None, None) if w else _finish(words, np.zeros(0, np.int64), window, digest)
-            for w, words in zip(waits.tolist(), c.words, strict=True)
-        ]
-        cut = np.searchsorted(c.doc[open_][again], np.arange(table.num_rows + 1))
-        places = c.place[open_][again].astype("<u4")
-        texts = table.column(text).combine_chunks()
-        gone = pa.array(waits)
+        place_ = at - c.begin[doc] if len(at) else at
+        for j, p in zip(doc[again].tolist(), place_[again].tolist(), strict=True):
+            starts.setdefault(chosen[j], []).append((p, 1))
+        sizes, removed, kept, own = [], [], [], []
+        for k, raw in enumerate(texts):
+            words, mine = raw.split(), _ranges(starts.get(k, []))
+            sizes.append(len(words))
+            r, text_left = (None, None) if k in waits else _finish(words, mine, window, digest)
+            removed.append(r)
+            kept.append(text_left)
+            own.append(mine.astype("<u4").tobytes() if k in waits else None)
+        old = table.column(text).combine_chunks()
         data = {
             **{x: table.column(x).combine_chunks() for x in (*both, chunk, row)},
-            "n_words": pa.array(c.size), "n_removed": pa.array([r for r, _ in done], pa.int64()),
-            last: pa.array([k for _, k in done], pa.string()),
-            local: pa.array([places[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-            place: pa.nulls(table.num_rows, pa.int64()), h1: pa.nulls(table.num_rows, pa.int64()),
-            h2: pa.nulls(table.num_rows, pa.int64()),
+            "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+            last: pa.array(kept, pa.string()), local: pa.array(own, pa.binary()),
+            place: pa.nulls(len(texts), pa.int64()), h1: pa.nulls(len(texts), pa.int64()),
+            h2: pa.nulls(len(texts), pa.int64()),
         }
         if digest:  # only texts that have to be cut later are carried on
-            data[text] = pa.compute.if_else(gone, texts, pa.nulls(len(texts), texts.type))
-        at = open_[ahead]
-        m = len(at)
-        found = {x: pa.nulls(m, v.type) for x, v in data.items()}
-        taken = pa.array(c.doc[at], pa.int64())
+            left = pa.array([k in waits for k in range(len(texts))])
+            data[text] = pa.compute.if_else(left, old, pa.nulls(len(old), old.type))
+        found = {x: pa.nulls(len(ahead), v.type) for x, v in data.items()}
+        taken = pa.array(np.array(chosen, np.int64)[doc[ahead]] if len(ahead) else [], pa.int64())
         found |= {
             doc_id: data[doc_id].take(taken), chunk: data[chunk].take(taken), row: data[row].take(taken),
-            place: pa.array(c.place[at]), h1: pa.array(a[ahead]), h2: pa.array(b[ahead]),
+            place: pa.array(place_[ahead]), h1: pa.array(a[ahead]), h2: pa.array(b[ahead]),
         }
         return pa.concat_tables([pa.table(data), pa.table(found)])
 
     judged = staged(
-        rows.groupBy(f"`{chunk}`").cogroup(shared.groupBy("chunk")).applyInArrow(verify, schema), "repeat-windows"
+        rows.groupBy(f"`{chunk}`").cogroup(told.groupBy("chunk")).applyInArrow(verify, schema), "repeat-windows"
     )
     windows = judged.where(F.col(h1).isNotNull())
     order = Window.partitionBy(h1, h2).orderBy(F.col(f"`{doc_id}`").asc_nulls_last(), chunk, row, place)
     later = (
         windows.select(f"`{doc_id}`", chunk, row, place, h1, h2)
-        .withColumn("turn", F.row_number().over(order)).where("turn > 1").select(chunk, row, place)
+        .withColumn("turn", F.row_number().over(order)).where("turn > 1")
+        # columns of their own: a cogroup mixes up sides that share some
+        .select(F.col(chunk).alias("its_chunk"), F.col(row).alias("its_row"), F.col(place).alias("its_place"))
     )
     out = [*(c for c in columns if c != last), "n_words", "n_removed", last]
     left = judged.where(F.col(h1).isNull())
@@ -309,7 +388,7 @@ def drop_repeats(
 
     def cut_out(table, found):
         numbers = table.column(row).to_pylist()
-        rows_, places = _numbers(found, row), _numbers(found, place)
+        rows_, places = _numbers(found, "its_row"), _numbers(found, "its_place")
         by = np.argsort(rows_, kind="stable")
         rows_, places = rows_[by], places[by]
         removed, kept = [], []
@@ -323,6 +402,6 @@ def drop_repeats(
         data = {c: table.column(c) for c in (*both, "n_words")}
         return pa.table({**data, "n_removed": pa.array(removed, pa.int64()), last: pa.array(kept, pa.string())})
 
-    cleaned = open_.groupBy(f"`{chunk}`").cogroup(later.groupBy(f"`{chunk}`")).applyInArrow(cut_out, kinds)
+    cleaned = open_.groupBy(f"`{chunk}`").cogroup(later.groupBy("its_chunk")).applyInArrow(cut_out, kinds)
     result = done.select([f"`{c}`" for c in out]).unionByName(cleaned)
     return result.drop(text) if digest else result
