@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from entries.base import PRICE, predictions, registry, rounded, sql, with_baseline
-from tidegrid.functions.time import local_date
-from tidegrid.operators import features, forecast, trading
+from tidegrid.functions.time import local_date, local_hour
+from tidegrid.operators import boosting, features, forecast, trading
 from tidegrid.session import staged
 from tidegrid.sources import market_events as market
 
@@ -75,6 +75,29 @@ def _(spark, d):
     return scored.select("zone", "ts_utc", F.col(PRICE).alias("actual_price"), "predicted_price")
 
 
+@query("g02_boosted_per_zone")
+def _(spark, d):
+    rows = staged(_split(spark, d), "split")
+    models = boosting.fit_boosted(rows.where("is_train"), PRICE, MODEL_FEATURES)
+    scored = boosting.predict_boosted(models, rows.where("NOT is_train"), MODEL_FEATURES)
+    return scored.select("zone", "ts_utc", F.col(PRICE).alias("actual_price"), "predicted_price")
+
+
+@query("g05_boosted_importance_per_zone")
+def _(spark, d):
+    train = _split(spark, d).where("is_train")
+    models = boosting.fit_boosted(train, PRICE, MODEL_FEATURES)
+    return boosting.importance_table(models, MODEL_FEATURES, ["zone"])
+
+
+@query("g05_permutation_importance")
+def _(spark, d):
+    rows = staged(_split(spark, d), "split")
+    models = boosting.fit_boosted(rows.where("is_train"), PRICE, MODEL_FEATURES)
+    score = lambda copies: boosting.predict_boosted(models, copies, MODEL_FEATURES)
+    return boosting.permutation_importance(rows.where("NOT is_train"), score, PRICE, MODEL_FEATURES)
+
+
 def _ridge(slope: str = "m.slope", icpt_x: str = "m.mx", icpt_y: str = "m.my") -> str:
     """One-feature ridge on standardised x with penalty 1: slope·n/(n + 1)."""
     beta = f"({slope} * m.n / (m.n + 1e0))"
@@ -264,3 +287,111 @@ def _(spark, d):
     return forecast.walk_forward(
         rows.drop("local_date"), PRICE, MODEL_FEATURES, window_days=7, folds=days
     )
+
+
+# ------------------------------------------------- several years, 56-day windows
+
+WINDOW = 56
+_LONG = """lp AS (
+  SELECT zone, ts_utc, CAST(ts_utc AS DATE) AS local_date, hour(ts_utc) AS hour,
+         CAST(sum(c) AS BIGINT) / (count(*) * 100000e0) - 25e0 AS y,
+         CAST(sum(k) AS BIGINT) / (count(*) * 1e0) AS x
+  FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'minor' ELSE 'main' END AS zone,
+               o_orderdate + to_hours(CAST(o_orderkey % 24 AS BIGINT)) AS ts_utc,
+               CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_custkey % 100 AS k
+        FROM orders) GROUP BY 1, 2),
+folds AS (
+  SELECT DISTINCT zone, local_date AS fold
+  FROM (SELECT *, min(local_date) OVER (PARTITION BY zone) AS first FROM lp)
+  WHERE local_date >= first + 56),
+win AS (
+  SELECT f.zone, fold, hour, x, y FROM folds f
+  JOIN lp r ON r.zone = f.zone AND r.local_date < fold AND r.local_date >= fold - 56),
+usable AS (SELECT zone, fold FROM win GROUP BY zone, fold HAVING count(*) >= 48)"""
+
+
+def _long_sql(body: str) -> str:
+    return (
+        f"SELECT * REPLACE (round(predicted_price, 6) + 0 AS predicted_price) FROM (\nWITH {_LONG}\n{body})"
+    )
+
+
+@query(
+    "g11_long_walk_forward",
+    _long_sql(
+        f"""SELECT p.zone, p.ts_utc, p.local_date, {_ridge()} * p.x AS predicted_price, p.y AS actual_price
+FROM lp p JOIN (SELECT zone, fold, {_REGRESSION} FROM win JOIN usable USING (zone, fold)
+                GROUP BY zone, fold) m ON m.zone = p.zone AND m.fold = p.local_date"""
+    ),
+)
+def _(spark, d):
+    rows = market.long_series(spark, d)
+    made = forecast.walk_forward(rows, PRICE, ["demand"], window_days=WINDOW, day_tz="UTC")
+    return rounded(made, "predicted_price")
+
+
+@query(
+    "g11_long_walk_forward_per_hour",
+    _long_sql(
+        f"""SELECT p.zone, p.ts_utc, p.local_date, coalesce({_ridge()} * p.x, 0) AS predicted_price,
+  p.y AS actual_price
+FROM lp p JOIN usable u ON u.zone = p.zone AND u.fold = p.local_date
+LEFT JOIN (SELECT zone, fold, hour, {_REGRESSION} FROM win GROUP BY zone, fold, hour
+           HAVING count(*) >= 10) m ON m.zone = p.zone AND m.fold = p.local_date AND m.hour = p.hour"""
+    ),
+)
+def _(spark, d):
+    rows = market.long_series(spark, d)
+    made = forecast.walk_forward(
+        rows, PRICE, ["demand"], window_days=WINDOW, day_tz="UTC", per_hour=True
+    )
+    return rounded(made, "predicted_price")
+
+
+def _long_matrix(spark, d):
+    """Features of the long series, as a written table; boosted trees take rows with gaps."""
+    rows = staged(market.long_series(spark, d), "long-series")
+    matrix = features.feature_matrix(rows.select("zone", "ts_utc", PRICE))
+    return staged(matrix.join(rows.select("zone", "ts_utc", "demand"), ["zone", "ts_utc"]), "long-matrix")
+
+
+LONG_FEATURES = [*features.LAG_FEATURES, *features.CALENDAR_FEATURES, "demand"]
+
+
+def _sampled_boosted(spark, d, per_hour: bool):
+    matrix = _long_matrix(spark, d)
+    dated = matrix.withColumn("local_date", local_date("ts_utc"))
+    days = trading.sample_days(dated, 50, WINDOW)
+    return boosting.walk_forward_boosted(
+        matrix, PRICE, LONG_FEATURES, WINDOW, folds=days, per_hour=per_hour
+    )
+
+
+@query("g11_boosted_sampled")
+def _(spark, d):
+    return _sampled_boosted(spark, d, False)
+
+
+@query("g11_boosted_sampled_per_hour")
+def _(spark, d):
+    return _sampled_boosted(spark, d, True)
+
+
+def _hour_models(spark, d):
+    rows = forecast.temporal_split(_long_matrix(spark, d))
+    rows = staged(rows.withColumn("hour", local_hour("ts_utc")), "split-hours")
+    models = boosting.fit_boosted(rows.where("is_train"), PRICE, LONG_FEATURES, ("zone", "hour"))
+    return rows, staged(models, "hour-models")
+
+
+@query("g03_boosted_per_hour")
+def _(spark, d):
+    rows, models = _hour_models(spark, d)
+    test = rows.where("NOT is_train")
+    scored = boosting.predict_boosted(models, test, LONG_FEATURES, ("zone", "hour"))
+    return scored.select("zone", "ts_utc", F.col(PRICE).alias("actual_price"), "predicted_price")
+
+
+@query("g05_mean_importance_over_hours")
+def _(spark, d):
+    return boosting.importance_table(_hour_models(spark, d)[1], LONG_FEATURES)

@@ -26,8 +26,10 @@ def test_every_statement_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without = sorted(set(all_queries()) - set(all_sql()))
     assert without == [
-        "d17_zone_quality_messages", "g02_boosted_trees", "g03_g04_per_hour_ridge",
-        "g05_feature_importance", "g11_sampled_walk_forward", "g11_walk_forward",
+        "d17_zone_quality_messages", "g02_boosted_per_zone", "g02_boosted_trees", "g03_boosted_per_hour",
+        "g03_g04_per_hour_ridge", "g05_boosted_importance_per_zone", "g05_feature_importance",
+        "g05_mean_importance_over_hours", "g05_permutation_importance", "g11_boosted_sampled",
+        "g11_boosted_sampled_per_hour", "g11_sampled_walk_forward", "g11_walk_forward",
     ]
 
 

@@ -7,6 +7,7 @@ from conftest import START, hours
 from pyspark.sql import functions as F
 
 from tidegrid.operators import features
+from tidegrid.operators.boosting import Settings
 from tidegrid.plans import daily_run, ingest, sampled_backtest, zone_ranking
 from tidegrid.session import staged
 from tidegrid.sources import store
@@ -61,6 +62,20 @@ def test_sampled_backtest_fills_only_new_days(spark, market_tables, tmp_path):
     assert {r.n_test_days for r in again} == {4}
     kept = spark.read.parquet(str(tmp_path / "marked")).where("pnl = 1000")
     assert kept.count() == 2 * 2 * 24  # stored days were not scored again
+    assert {(r.status, r.n_sampled, r.n_cached, r.n_new) for r in again} == {("ok", 4, 2, 2)}
+
+
+def test_sampled_backtest_states_what_is_missing(spark, market_tables, tmp_path):
+    matrix = staged(daily_run.prepare(market_tables)["matrix"], "matrix")
+    short = matrix.where("zone = 'A' OR ts_utc < '2025-01-16'")
+    zones = spark.createDataFrame([("A",), ("B",), ("C",)], "zone string")
+    got = sampled_backtest.run(
+        staged(short, "short"), features.feature_names(matrix), str(tmp_path / "results"), n_samples=2,
+        window_days=4, zones=zones, learner="boosted", settings=Settings(trees=3, depth=2),
+    ).collect()
+    assert {r.zone: (r.status, r.n_sampled, r.n_new, r.n_test_days) for r in got} == {
+        "A": ("ok", 2, 2, 2), "B": ("no_results", 0, 0, 0), "C": ("no_data", 0, 0, 0),
+    }
 
 
 def test_price_only_zones_get_their_own_model(spark, market_tables, tmp_path):

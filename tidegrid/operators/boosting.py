@@ -112,27 +112,25 @@ def train(
     n, width = x.shape
     depth, nodes = settings.depth, (1 << (settings.depth + 1)) - 1
     starts = np.searchsorted(model, np.arange(n_models + 1))
-    edges: list[list[np.ndarray]] = []
     codes = np.zeros((n, width), np.int64)
+    edges = np.full((n_models, width, settings.bins + 1), np.nan)
+    edges[:, :, 0] = -np.inf  # a split above the missing values alone
     base = np.zeros(n_models)
     for k in range(n_models):
         part = slice(starts[k], starts[k + 1])
-        edges.append([bin_edges(x[part, f], settings.bins) for f in range(width)])
         for f in range(width):
-            codes[part, f] = codes_of(x[part, f], edges[k][f])
+            found = bin_edges(x[part, f], settings.bins)
+            codes[part, f] = codes_of(x[part, f], found)
+            edges[k, f, 1 : len(found) + 1] = found
         base[k] = y[part].mean() if starts[k + 1] > starts[k] else 0.0
     n_bins = int(codes.max(initial=0)) + 1
-    out = [
-        Trees(
-            float(base[k]), np.full((settings.trees, nodes), -1, np.int16), np.zeros((settings.trees, nodes)),
-            np.zeros((settings.trees, nodes)), np.zeros(width), np.zeros(width, np.int64),
-        )
-        for k in range(n_models)
-    ]
+    features = np.full((n_models, settings.trees, nodes), -1, np.int16)
+    thresholds, values = np.zeros((2, n_models, settings.trees, nodes))
+    gains, splits = np.zeros((n_models, width)), np.zeros((n_models, width), np.int64)
     predicted = base[model]
     for tree in range(settings.trees):
         columns = sampled_columns(width, tree, settings)
-        seen = sampled_rows(key, tree, settings)
+        seen, chosen = sampled_rows(key, tree, settings), codes[:, columns]
         gradient = predicted - y
         alive, slot = np.arange(n), model.copy()
         for level in range(depth + 1):
@@ -143,44 +141,53 @@ def train(
             g = gradient[alive[mine]]
             sums = np.bincount(inverse, weights=g, minlength=len(slots))
             counts = np.bincount(inverse, minlength=len(slots)).astype(float)
-            best = np.full(len(slots), -1)
+            best, most = np.full(len(slots), -1), np.zeros(len(slots))
+            feature = edge = np.zeros(len(slots), np.int64)
             if level < depth and len(columns):
-                cell = (inverse[:, None] * len(columns) + np.arange(len(columns))) * n_bins
-                cell = (cell + codes[alive[mine]][:, columns]).ravel()
-                size = len(slots) * len(columns) * n_bins
-                shape = (len(slots), len(columns), n_bins)
-                left = np.bincount(cell, weights=np.repeat(g, len(columns)), minlength=size).reshape(shape)
-                below = np.bincount(cell, minlength=size).reshape(shape).cumsum(2)
-                left = left.cumsum(2)
-                above = counts[:, None, None] - below
-                right = sums[:, None, None] - left
-                gain = left**2 / (below + settings.l2) + right**2 / (above + settings.l2)
-                gain -= (sums**2 / (counts + settings.l2))[:, None, None]
-                gain[(below < 1) | (above < 1)] = -np.inf
-                gain = gain.reshape(len(slots), -1)
-                most = gain.max(1)
-                first = (gain >= (most - TIE * np.abs(most))[:, None]).argmax(1)
-                best = np.where(most > settings.min_gain, first, -1)
+                # bins first: running sums over them are additions of whole rows
+                cells = len(slots) * len(columns)
+                cell = chosen[alive[mine]] * cells
+                cell += (inverse * len(columns))[:, None] + np.arange(len(columns))
+                cell, shape = cell.ravel(), (n_bins, len(slots), len(columns))
+                left = np.bincount(cell, weights=np.repeat(g, len(columns)), minlength=n_bins * cells).reshape(shape)
+                below = np.bincount(cell, minlength=n_bins * cells).astype(float).reshape(shape)
+                np.cumsum(left, axis=0, out=left)
+                np.cumsum(below, axis=0, out=below)
+                above, right = counts[:, None] - below, sums[:, None] - left
+                nowhere = (below < 1) | (above < 1)
+                below += settings.l2
+                above += settings.l2
+                gain = left * left / below
+                right *= right
+                right /= above
+                gain += right
+                gain -= (sums**2 / (counts + settings.l2))[:, None]
+                np.copyto(gain, -np.inf, where=nowhere)
+                most = gain.max(axis=(0, 2))
+                near = gain >= (most - TIE * np.abs(most))[:, None]
+                feature = near.any(0).argmax(1)
+                edge = near[:, np.arange(len(slots)), feature].argmax(0)
+                best = np.where(most > settings.min_gain, feature, -1)
+                feature = columns[feature]
             at = np.minimum(np.searchsorted(slots, slot[alive]), len(slots) - 1)
             known = slots[at] == slot[alive]
             value = -sums / (counts + settings.l2) * settings.rate
-            feature, edge = columns[np.maximum(best, 0) // n_bins], np.maximum(best, 0) % n_bins
-            for j, s in enumerate(slots.tolist()):
-                k, node = s >> level, (1 << level) - 1 + (s & ((1 << level) - 1))
-                if best[j] < 0:
-                    out[k].value[tree, node] = value[j]
-                else:
-                    f, b = int(feature[j]), int(edge[j])
-                    out[k].feature[tree, node] = f
-                    out[k].threshold[tree, node] = edges[k][f][b - 1] if b else -np.inf
-                    out[k].gain[f] += most[j]
-                    out[k].splits[f] += 1
+            k, node = slots >> level, (1 << level) - 1 + (slots & ((1 << level) - 1))
+            leaf = best < 0
+            values[k[leaf], tree, node[leaf]] = value[leaf]
+            k, node, f, b = k[~leaf], node[~leaf], feature[~leaf], edge[~leaf]
+            features[k, tree, node] = f
+            thresholds[k, tree, node] = edges[k, f, b]
+            np.add.at(gains, (k, f), most[~leaf] if len(k) else 0.0)
+            np.add.at(splits, (k, f), 1)
             ends = known & (best[at] < 0)
             predicted[alive[ends]] += value[at[ends]]
             goes = known & ~ends
             alive, at = alive[goes], at[goes]
             slot[alive] = slot[alive] * 2 + (codes[alive, feature[at]] > edge[at])
-    return out
+    return [
+        Trees(float(base[k]), features[k], thresholds[k], values[k], gains[k], splits[k]) for k in range(n_models)
+    ]
 
 
 def predict(model: Trees, x: np.ndarray) -> np.ndarray:

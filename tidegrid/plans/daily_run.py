@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.time import MARKET_TZ
-from tidegrid.operators import features, forecast, monitor, quality, trading
+from tidegrid.operators import boosting, features, forecast, monitor, quality, trading
 from tidegrid.operators.align import concat
 from tidegrid.session import staged
 from tidegrid.sources.store import write_report
@@ -80,11 +80,23 @@ def backtest(
     window_days: int = WINDOW_FULL,
     day_tz: str = MARKET_TZ,
     folds: DataFrame | None = None,
+    learner: str = "ridge",
+    per_hour: bool = False,
+    settings: boosting.Settings | None = None,
 ) -> DataFrame:
-    """Walk-forward forecasts, rank-spread positions and hourly P&L."""
-    made = forecast.walk_forward(
-        matrix, features.PRICE, names, window_days, day_tz=day_tz, folds=folds
-    )
+    """Walk-forward forecasts, rank-spread positions and hourly P&L.
+
+    ``learner`` is ``ridge`` or ``boosted`` (trees with ``settings``).
+    """
+    common = {"day_tz": day_tz, "folds": folds, "per_hour": per_hour}
+    if learner == "boosted":
+        made = boosting.walk_forward_boosted(
+            matrix, features.PRICE, names, window_days, settings=settings, **common
+        )
+    elif learner == "ridge":
+        made = forecast.walk_forward(matrix, features.PRICE, names, window_days, **common)
+    else:
+        raise ValueError(f"unknown learner {learner!r}")
     return trading.pnl(trading.rank_spread(made.drop("local_date"), day_tz=day_tz))
 
 

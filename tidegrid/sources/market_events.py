@@ -162,3 +162,24 @@ def error_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum(c).alias("_c"), F.count(F.lit(1)).alias("_n"))
         .select("zone", "ts_utc", (F.col("_c") / (F.col("_n") * 1000000.0)).alias("mae"))
     )
+
+
+def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hourly series of several years from ``orders``: the price is the mean order total in
+    thousands less 25, the hour is the key's; every tenth order falls into a sparse second zone.
+    ``demand`` is a second number per hour."""
+    return (
+        table(spark, sf_dir, "orders")
+        .select(
+            F.when(F.col("o_orderkey") % 10 == 0, "minor").otherwise("main").alias("zone"),
+            (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int")))
+            .alias("ts_utc"),
+            cents("o_totalprice").alias("_c"), (F.col("o_custkey") % 100).alias("_k"),
+        )
+        .groupBy("zone", "ts_utc")
+        .agg(F.sum("_c").alias("_c"), F.sum("_k").alias("_k"), F.count(F.lit(1)).alias("_n"))
+        .select(
+            "zone", "ts_utc", (F.col("_c") / (F.col("_n") * 100000.0) - 25.0).alias("price_eur_mwh"),
+            (F.col("_k") / (F.col("_n") * 1.0)).alias("demand"),
+        )
+    )
