@@ -112,6 +112,69 @@ def _(spark, d):
     )
 
 
+def _upserted(spark, d) -> str:
+    """A store that the hourly prices went into by two overlapping upserts."""
+    root = staging_path(spark, "series")
+    rows = market.prices_by_source(spark, d).withColumn("price_dkk_mwh", F.lit(None).cast("double"))
+    for part in (rows.where("hour(ts_utc) < 16"), rows.where("hour(ts_utc) >= 8")):
+        store.merge_into(part, root, "day_ahead_prices")
+    return root
+
+
+@query(
+    "a04_range_from_summary",
+    sql('SELECT zone, min(ts_utc) AS start, max(ts_utc) AS "end" FROM ps GROUP BY zone', "ps"),
+)
+def _(spark, d):
+    return store.stored_coverage(spark, _upserted(spark, d), "day_ahead_prices")
+
+
+@query(
+    "a05_catalogue_from_summary",
+    sql(
+        """SELECT source, zone, 'day_ahead_prices' AS datatype, count(*) AS n_rows, min(ts_utc) AS start,
+  max(ts_utc) AS "end" FROM ps GROUP BY source, zone""",
+        "ps",
+    ),
+)
+def _(spark, d):
+    return store.stored_catalogue(spark, _upserted(spark, d), ["day_ahead_prices"])
+
+
+@query(
+    "a20_covers_from_summary",
+    sql(
+        """SELECT source, zone, min(ts_utc) AS start, max(ts_utc) AS "end",
+  min(ts_utc) <= TIMESTAMP '2024-01-01 05:00:00' AND max(ts_utc) >= TIMESTAMP '2024-01-30 20:00:00' AS covered
+FROM ps GROUP BY source, zone""",
+        "ps",
+    ),
+)
+def _(spark, d):
+    return store.stored_covers(
+        spark, _upserted(spark, d), "day_ahead_prices", "2024-01-01 05:00:00", "2024-01-30 21:00:00",
+        ("source", "zone"),
+    )
+
+
+@query(
+    "a21_missing_from_summary",
+    sql(
+        """SELECT z.source, z.zone, CAST(s AS DATE) AS chunk_start, CAST(s + INTERVAL 1 DAY AS DATE) AS chunk_end
+FROM (SELECT DISTINCT source, zone FROM ps) z
+CROSS JOIN generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-02', INTERVAL 1 DAY) t(s)
+WHERE NOT EXISTS (SELECT 1 FROM ps e WHERE e.zone = z.zone AND e.source = z.source
+  AND e.ts_utc >= s AND e.ts_utc < s + INTERVAL 1 DAY)""",
+        "ps",
+    ),
+)
+def _(spark, d):
+    return store.stored_missing_chunks(
+        spark, _upserted(spark, d), "day_ahead_prices", "2023-12-30", "2024-02-03", "1 days",
+        ("source", "zone"),
+    )
+
+
 @query(
     "a06_pick_source",
     sql(
