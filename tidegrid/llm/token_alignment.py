@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidegrid.llm.bpe import ByteBPE, WordTable, spread
+from tidegrid.llm.bpe import ByteBPE, WordTable
 from tidegrid.llm.common import staged
 
 #: Bytes of the documents that are aligned together, and distinct pairs of documents in one chunk.
@@ -93,6 +93,14 @@ def _load(path_a: str, path_b: str):
     return _LOADED[path_a, path_b]
 
 
+def spread(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` of the given starts and sizes, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((start - ends + size).astype(kind), size) + np.arange(total, dtype=kind)]
+
+
 def _sums(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=values, minlength=n).astype(np.int64)
 
@@ -119,10 +127,16 @@ def align_texts(texts: list[str | None], a: ByteLevel, b: Pieces, digits: Digits
     raw = [b" " + t.encode() if t else b"" for t in texts]
     spaced = [" " + t if t else "" for t in texts]
     ids = [side.encode(spaced) for side in (a, b)]
-    for k, want in enumerate(raw):
-        for side, found in zip((a, b), ids, strict=True):
+    whole = b"".join(raw)
+    for side, found in zip((a, b), ids, strict=True):
+        joined = np.concatenate([np.zeros(0, np.uint32), *found])
+        if spread(side.bytes, side.start[joined], side.size[joined]).tobytes() == whole:
+            continue
+        for k, want in enumerate(raw):
             if spread(side.bytes, side.start[found[k]], side.size[found[k]]).tobytes() != want:
                 ids[0][k] = ids[1][k] = np.zeros(0, np.uint32)
+                raw[k] = b""
+        whole = b"".join(raw)
     flat = [np.concatenate([np.zeros(0, np.uint32), *x]).astype(np.int64) for x in ids]
     count = [np.fromiter(map(len, x), np.int64, n) for x in ids]
     ends = [np.cumsum(side.size[x]) for side, x in zip((a, b), flat, strict=True)]
@@ -136,9 +150,16 @@ def align_texts(texts: list[str | None], a: ByteLevel, b: Pieces, digits: Digits
     open_a = np.maximum.accumulate(np.where(src == 0, place, 0))[fresh]
     open_b = np.maximum.accumulate(np.where(src == 1, place, 0))[fresh]
     at = doc[fresh]
-    key = both[open_a] * _ID + both[open_b]
-    by = np.lexsort((key, at))
-    key, at = key[by], at[by]
+    # document, A's id and B's id in one number, which sorts faster than three
+    bits = max(len(a.size), len(b.size)).bit_length()
+    if 2 * bits + n.bit_length() < 64:
+        packed = np.sort((at << 2 * bits) + (both[open_a] << bits) + both[open_b])
+        at, key = packed >> 2 * bits, packed & ((1 << 2 * bits) - 1)
+        key = (key >> bits) * _ID + (key & ((1 << bits) - 1))
+    else:
+        key = both[open_a] * _ID + both[open_b]
+        by = np.lexsort((key, at))
+        key, at = key[by], at[by]
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1])]) if len(key) else np.zeros(0, np.int64)
     times = np.diff(np.r_[first, len(key)])
     cut = np.r_[0, np.cumsum(np.bincount(at[first], minlength=n))]
