@@ -1,9 +1,12 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import to_pandas, to_spark
+from conftest import hours, to_pandas, to_spark
 from pyspark.sql import functions as F
 
+from tidegrid.operators import align, blocks, features, forecast, profiles, quality, screen
 from tidegrid.operators.blocks import hours_back, running, trailing, trailing_rows, with_position
 from tidegrid.operators.quantiles import exact_quantiles, quantile_columns
 
@@ -89,3 +92,50 @@ def test_quantiles_without_groups(spark):
     pdf = pd.DataFrame({"v": np.arange(11.0)})
     row = quantile_columns(to_spark(spark, pdf), "v", {"q": 0.25}, by=()).first()
     assert row.q == 2.5
+
+
+def wide(spark):
+    rows = [("A" if k % 3 else "B", "s" if k % 2 else "t", t, float(k % 17), float(k)) for k, t in enumerate(hours(300))]
+    return spark.createDataFrame(rows, "zone string, source string, ts_utc timestamp_ntz, price_eur_mwh double, x double")
+
+
+def test_attach_joins_like_a_plain_join(spark):
+    df = wide(spark).withColumn("zone", F.when(F.col("x") == 7, None).otherwise(F.col("zone")))
+    values = spark.createDataFrame([("A", 1.0), ("C", 2.0)], "zone string, v double")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = blocks.attach(df, values, how=how, parts=5)
+        want = df.join(values, "zone", how)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), how
+    with pytest.raises(ValueError):
+        blocks.attach(df, values, how="full")
+
+
+def test_rows_are_not_sent_by_zone_alone(spark):
+    """With broadcasts off, no sort-merge join of hourly rows has the zone as its only key."""
+    df = wide(spark)
+    bad = spark.createDataFrame([("A", True)], "zone string, skip boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, made in {
+            "clip": screen.clip_to_quantiles(df, "price_eur_mwh"),
+            "pick": align.pick_source(df, ["s", "t"]),
+            "passing": quality.passing_zones(df, bad),
+            "complete": features.model_rows(df),
+            "curve": profiles.binned_curve(df, "x", "price_eur_mwh"),
+            "histogram": profiles.histogram(df, "price_eur_mwh"),
+            "tails": profiles.with_tail_segment(df),
+            "split": forecast.temporal_split(df.where("source = 's'")),
+            "reconcile": align.reconcile(df, "price_eur_mwh", ["s", "t"], order="x")[0],
+        }.items():
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            keys = re.findall(r"SortMergeJoin(?:\(skew=true\))? \[([^\]]*)\]", plan)
+            assert keys, name
+            assert any("_part" in k for k in keys), name
+            rows_by_zone = [k for k in keys if re.fullmatch(r"zone#\d+", k)]
+            # only tables of one row per zone, or per zone and quantile, may meet by zone
+            assert len(rows_by_zone) == 0, (name, keys)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

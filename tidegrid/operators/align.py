@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.time import hour_no, hour_ts
+from tidegrid.operators.blocks import attach
 
 KEYS = ("zone", "ts_utc")
 
@@ -202,7 +203,7 @@ def reconcile(
     ``by…, primary_source, provenance, hours``.
     """
     primary = _chosen_source(df, priority, by).withColumnRenamed("source", "primary_source")
-    wide = _per_source(df, col, priority, keys, order).join(primary, list(by))
+    wide = attach(_per_source(df, col, priority, keys, order), primary, by)
 
     def of(source_prefix: str, otherwise):
         out = otherwise
@@ -252,7 +253,7 @@ def pick_source(
     df: DataFrame, priority: Sequence[str], by: Sequence[str] = ("zone",)
 ) -> DataFrame:
     """Rows of the best available source of each series."""
-    return df.join(_chosen_source(df, priority, by), [*by, "source"], "left_semi")
+    return attach(df, _chosen_source(df, priority, by), [*by, "source"], "left_semi")
 
 
 def zone_sources(df: DataFrame, zones: DataFrame, priority: Sequence[str]) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.time import hour_no
 
+#: Parts that the rows of one series are dealt to when they meet a value of that series.
+PARTS = 128
 BLOCK = 2160  # 90 days of hours; the copied rows stay under 9 % for a 191-hour frame
 
 
@@ -57,6 +59,24 @@ def hours_back(col: str, hours: int, w: WindowSpec) -> Column:
     return F.max(col).over(w.rangeBetween(-hours, -hours))
 
 
+def attach(
+    rows: DataFrame, values: DataFrame, by: Sequence[str] = ("zone",), how: str = "inner", parts: int = PARTS
+) -> DataFrame:
+    """Join hourly ``rows`` with ``values``, a table of few rows per series, on ``by``.
+
+    A plain join would send all rows of a series to one task. Here a hash of the
+    row's other columns deals a series to ``parts`` tasks, and only ``values``,
+    one copy per part, is replicated; if it is small, Spark broadcasts it and no
+    row moves at all. ``how`` is inner, left, left_semi or left_anti.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"values can't be attached by a {how} join")
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in by]
+    part = F.pmod(F.xxhash64(*others), F.lit(parts)).cast("int") if others else F.lit(0)
+    copies = values.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("_part", part).join(copies, [*by, "_part"], how).drop("_part")
+
+
 def with_position(
     df: DataFrame, by: Sequence[str] = ("zone",), chunk_hours: int = 720, name: str = "pos"
 ) -> DataFrame:

@@ -23,7 +23,7 @@ from tidegrid.functions.time import (
     to_local,
 )
 from tidegrid.operators.align import merged_hours
-from tidegrid.operators.blocks import hours_back, trailing
+from tidegrid.operators.blocks import attach, hours_back, trailing
 from tidegrid.operators.screen import null_as_zero_sum, wind_columns
 
 PRICE = "price_eur_mwh"
@@ -311,7 +311,7 @@ def _where_complete(
     whole = reduce(and_, [F.col(c).isNotNull() | ~F.col(f"_has_{c}") for c in cols])
     if "_any" in presence.columns:
         whole = whole & (F.col("_any") > 0)
-    return rows.join(presence, list(by)).where(whole).select(*rows.columns)
+    return attach(rows, presence, by).where(whole).select(*rows.columns)
 
 
 def feature_names(matrix: DataFrame, target: str = PRICE) -> list[str]:

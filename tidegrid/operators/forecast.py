@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tidegrid.functions.stats import mae, pearson, rmse, smape
 from tidegrid.functions.time import MARKET_TZ, local_date, local_hour
-from tidegrid.operators.blocks import with_position
+from tidegrid.operators.blocks import attach, with_position
 from tidegrid.session import staged, with_checkpoint_dir
 
 # Boosted-tree settings.
@@ -39,8 +39,7 @@ def temporal_split(
     """``is_train``: true on the first ``floor(share·n)`` rows of each zone."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        with_position(df, by, name="_row")
-        .join(sizes, list(by))
+        attach(with_position(df, by, name="_row"), sizes, by)
         .withColumn("is_train", F.col("_row") < F.floor(F.col("_n") * F.lit(float(share))))
         .drop("_row", "_n")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.stats import pair_count, pearson, share_pct
 from tidegrid.functions.time import MARKET_TZ, local_date, local_hour, local_month, week_end
 from tidegrid.operators.align import edge_prices
-from tidegrid.operators.blocks import hours_back, trailing
+from tidegrid.operators.blocks import attach, hours_back, trailing
 from tidegrid.operators.quantiles import quantile_columns
 from tidegrid.operators.screen import calendar_parts, clip_to_quantiles
 from tidegrid.session import staged
@@ -240,7 +240,7 @@ def binned_curve(
         F.col("bin") == 1, F.col("_lo") - (F.col("_hi") - F.col("_lo")) * 0.001
     ).otherwise(F.col("_lo") + width * (F.col("bin") - 1))
     mid = (left + F.col("_lo") + width * F.col("bin")) / 2
-    placed = rows.join(span, list(by)).withColumn("bin", bin_no)
+    placed = attach(rows, span, by).withColumn("bin", bin_no)
     stats = placed.groupBy(*by, "bin").agg(
         F.first("_lo").alias("_lo"),
         F.first("_hi").alias("_hi"),
@@ -268,7 +268,7 @@ def histogram(
     place = F.floor((F.col(col) - F.col("_lo")) / F.nullif(width, F.lit(0.0))) + 1
     bin_no = F.least(F.coalesce(place, F.lit(1)), F.lit(bins))
     return (
-        rows.join(span, list(by))
+        attach(rows, span, by)
         .groupBy(*by, bin_no.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -289,7 +289,7 @@ def with_tail_segment(
         .when(F.col(col) >= F.col("_hi"), "top")
         .when(F.col(col).isNotNull(), "middle")
     )
-    return df.join(cut, list(by)).withColumn("segment", segment).drop("_lo", "_hi")
+    return attach(df, cut, by).withColumn("segment", segment).drop("_lo", "_hi")
 
 
 def tail_conditions(

@@ -17,7 +17,7 @@ from tidegrid.functions.time import (
     local_date,
 )
 from tidegrid.operators.align import align_to, dedup, gaps, hour_span
-from tidegrid.operators.blocks import trailing_rows
+from tidegrid.operators.blocks import attach, trailing_rows
 from tidegrid.operators.screen import out_of_range
 
 # Quality gates in percent, and the outlier count worth a warning.
@@ -432,4 +432,4 @@ def zone_quality(
 
 def passing_zones(df: DataFrame, quality: DataFrame) -> DataFrame:
     """Rows of zones without quality errors."""
-    return df.join(quality.where("skip").select("zone"), "zone", "left_anti")
+    return attach(df, quality.where("skip").select("zone"), how="left_anti")

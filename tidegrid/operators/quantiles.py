@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.operators.blocks import attach
+
 BINS = 64
 
 
@@ -31,7 +33,7 @@ def exact_quantiles(
     cuts = F.percentile_approx("_v", [i / BINS for i in range(1, BINS)], 20 * BINS)
     span = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), cuts.alias("_cuts"))
     binned = (
-        counted.join(span, keys)
+        attach(counted, span, keys)
         .withColumn("_bin", F.expr("size(filter(_cuts, c -> c <= _v))"))
         .drop("_cuts")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.stats import share_pct
 from tidegrid.functions.time import MARKET_TZ, local_month, to_local
+from tidegrid.operators.blocks import attach
 from tidegrid.operators.quantiles import quantile_columns
 
 # Accepted price range in EUR/MWh.
@@ -70,7 +71,7 @@ def clip_to_quantiles(
     edges = quantile_columns(df, col, {"clip_lo": low, "clip_hi": high}, by)
     inside = F.greatest(F.col("clip_lo"), F.least(F.col("clip_hi"), F.col(col)))
     clipped = F.when(F.col(col).isNotNull(), inside)
-    return df.join(edges, list(by), "left").withColumn("clipped", clipped)
+    return attach(df, edges, by, "left").withColumn("clipped", clipped)
 
 
 def wind_columns(columns: Sequence[str], skip_actuals: bool = False) -> list[str]:
