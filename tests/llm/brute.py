@@ -3,8 +3,6 @@
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
-
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -81,29 +79,48 @@ _GAP = re.compile(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~]+")
 
 
 def line_form(line):
-    return [w for w in _GAP.split(line.lower()) if w]
+    """The normal form of a line: of punctuation alone the line itself, '' is blank."""
+    words = " ".join(w for w in _GAP.split(line.lower()) if w)
+    return words or line.strip(" \t\n\x0b\f\r")
+
+
+def within(a, b, most):
+    """Whether two strings are at most ``most`` edits apart, in a band of the table."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    far, row = most + 1, {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            best = min(row.get(j, far) + 1, new.get(j - 1, far) + 1)
+            if j:
+                best = min(best, row.get(j - 1, far) + (x != b[j - 1]))
+            new[j] = best if j or i > most else i
+        row = new
+        if min(row.values()) > most:
+            return False
+    return row[len(b)] <= most
 
 
-def dropped_lines(docs, simhashes, min_words=5, similarity=0.8, distance=3):
-    """doc_id -> set of dropped line numbers; ``simhashes`` gives those of a list of forms."""
+def dropped_lines(docs, similarity=0.8):
+    """doc_id -> set of dropped line numbers: all pairs of normal forms, by edit similarity alone."""
     lines = [
-        (i, k, " ".join(line_form(x)))
-        for i, t in docs
-        for k, x in enumerate((t or "").split("\n"))
-        if len(line_form(x)) >= min_words
+        (i, k, form) for i, t in docs for k, x in enumerate((t or "").split("\n")) if (form := line_form(x))
     ]
-    forms = sorted({x for _, _, x in lines})
-    at = {x: k for k, x in enumerate(forms)}
-    h = np.array([x & (2**64 - 1) for x in simhashes(forms)], np.uint64)
-    groups = Groups(range(len(forms)))
-    for a in range(len(forms)):
-        for b in (np.flatnonzero(np.bitwise_count(h[a + 1 :] ^ h[a]) <= distance) + a + 1).tolist():
-            longer = max(len(forms[a]), len(forms[b]))
-            if edits(forms[a], forms[b]) <= longer * (1 - similarity) + 1e-9:
+    forms = sorted({x for _, _, x in lines}, key=lambda x: (len(x), x))
+    counts = {x: Counter(x) for x in forms}
+    groups = Groups(forms)
+    for k, a in enumerate(forms):
+        for b in forms[k + 1 :]:
+            most = int(len(b) * (1 - similarity) + 1e-9)
+            if len(b) - len(a) > most:
+                break
+            # characters of the longer form that the other lacks are edits
+            if (counts[b] - counts[a]).total() <= most and within(a, b, most):
                 groups.join(a, b)
     first, gone = {}, defaultdict(set)
     for i, k, x in sorted(lines):
-        if first.setdefault(groups.find(at[x]), (i, k)) != (i, k):
+        if first.setdefault(groups.find(x), (i, k)) != (i, k):
             gone[i].add(k)
     return gone
 

@@ -54,7 +54,8 @@ def test_ids_that_repeat_or_are_null(spark):
     )
     rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in nj.ngram_components(docs).collect())
     assert rows == [(0, 1, None), (0, 6, 5), (5, 6, 5), (5, 6, 5), (5, 8, 5), (7, 8, 5), (9, 6, 5)]
-    assert sorted(r.doc_id or 0 for r in nj.drop_near_copies(docs).collect()) == [0, 0, 5, 5, 5]
+    left = sorted((r.doc_id or 0, r.text) for r in nj.drop_near_copies(docs).collect())
+    assert left == [(0, "alone " * 9), (5, text), (5, other)]  # one row of each group
 
 
 def test_no_rows_and_no_links(spark):
@@ -85,3 +86,29 @@ def test_size_classes_are_at_most_one_apart():
     for n in range(1, 3000):
         k, top = nj.size_class(n, 4, 5)
         assert n <= top and nj.size_class(n * 5 // 4, 4, 5)[0] <= k + 1
+
+
+def test_near_copies_go_by_document(spark):
+    from tidegrid.llm.ngram_join import drop_near_copies
+
+    words = [f"w{k}" for k in range(100)]
+    a, near, b = " ".join(words), " ".join([*words[:99], "z"]), " ".join(words[::-1])
+    schema = "doc_id long, text string, near_id string"
+    docs = spark.createDataFrame([(5, a, "p"), (7, a, "q"), (7, b, "r")], schema)
+    assert sorted(map(tuple, drop_near_copies(docs).collect())) == [(5, a, "p"), (7, b, "r")]
+    docs = spark.createDataFrame(
+        [(None, a, "p"), (None, near, "q"), (8, b, "s"), (8, b, "r"), (9, None, "t"), (9, None, "t"), (9, "", "u")], schema
+    )
+    got = sorted((str(r.doc_id), str(r.text), r.near_id) for r in drop_near_copies(docs).collect())
+    assert [g[2] for g in got] == ["r", "u", "t", "t", "p"] or [g[2] for g in got] == ["r", "u", "t", "t", "q"]
+    assert drop_near_copies(docs.where("false")).count() == 0
+
+
+def test_near_copies_without_ids_link(spark):
+    from tidegrid.llm.ngram_join import ngram_components
+
+    words = [f"w{k}" for k in range(100)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:99], "z"])), (3, "other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_links, r.component_id) for r in ngram_components(docs).collect())
+    assert got == [(0, 1, None), (0, 1, None), (3, 0, 3)]

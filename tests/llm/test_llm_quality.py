@@ -53,3 +53,11 @@ def test_no_rows(spark):
 def test_plan_has_no_python_and_no_exchange(spark):
     plan = quality.ledger(frame(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame(
+        [("a b c", "x", "y", "z", 1)], "text string, __text string, __words string, __lines string, n_words int"
+    )
+    row = quality.ledger(docs).first()
+    assert (row.text, row["__text"], row["__words"], row["__lines"], row.n_words) == ("a b c", "x", "y", "z", 3)

@@ -59,3 +59,12 @@ def test_empty_tables(spark):
     assert judge_urls(pages.where("false"), rules).count() == 0
     row = judge_urls(pages, rules.where("false")).first()
     assert (row.host, row.path, row.rule, row.verdict) == ("a.org", "/", None, "allow")
+
+
+def test_clashing_columns_are_kept(spark):
+    pages = spark.createDataFrame(
+        [("http://a.org/x", "p", "q", "r", "s")], "url string, url_host string, url_path string, slice string, labels string"
+    )
+    rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
+    row = judge_urls(pages, rules).first()
+    assert (row.url_host, row.url_path, row.slice, row.labels, row.verdict) == ("p", "q", "r", "s", "block")

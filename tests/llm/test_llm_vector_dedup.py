@@ -77,3 +77,31 @@ def test_search_reaches_every_part_of_a_graph():
 def test_one_vector_builds_a_graph():
     x = unit(np.random.default_rng(0), 1)
     assert [g.tolist() for g in vd.connect(x, vd.build_graph(x, 0), 0)] in ([[]], [[0]])
+
+
+def test_the_exact_way_when_recall_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(vd, "TARGET", 2.0)
+    monkeypatch.setattr(vd, "TRIES", ((1, 4),))
+    monkeypatch.setattr(vd, "SHARD", 100)
+    monkeypatch.setattr(vd, "CHUNK", 70)
+    rng = np.random.default_rng(8)
+    x = unit(rng, 200)
+    x = np.concatenate([x, near(rng, x[:100], 0.2), near(rng, np.repeat(x[:1], 60, 0), 0.25), x[:5]])
+    rows = list(enumerate(np.float32(x).astype(float).tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    degree, group = brute(rows, 0.95)
+    got = {r.vec_id: (r.n_links, r.component_id, r.recall) for r in vd.vector_components(frame).collect()}
+    assert got == {k: (degree[k], group[k], 1.0) for k in degree} and sum(degree.values()) > 300
+
+
+def test_doubles_and_every_length(spark):
+    schema = "vec_id long, embedding array<double>"
+    c = 0.95 + 1e-9
+    rows = [(1, [1.0, 0.0]), (2, [c, (1 - c * c) ** 0.5]), (3, [0.95 - 1e-9, (1 - (0.95 - 1e-9) ** 2) ** 0.5])]
+    got = {r.vec_id: r.n_links for r in vd.vector_components(spark.createDataFrame(rows[:2], schema)).collect()}
+    assert got == {1: 1, 2: 1}
+    got = {r.vec_id: r.n_links for r in vd.vector_components(spark.createDataFrame(rows[::2], schema)).collect()}
+    assert got == {1: 0, 3: 0}
+    mixed = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, 4.001]), (4, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [1.0, 0.01, 0.0]), (7, [1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vd.vector_components(spark.createDataFrame(mixed, schema)).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (0, 5), 6: (1, 4), 7: (0, 7)}

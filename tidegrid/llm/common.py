@@ -58,6 +58,15 @@ def with_columns(df: DataFrame, schema: str, fn: Callable) -> DataFrame:
     return df.mapInArrow(run, fields)
 
 
+def fresh_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with a number behind those that a table already has."""
+    out = []
+    for name in wanted:
+        free = [name, *(f"{name}{k}" for k in range(len(taken) + 1))]
+        out.append(next(c for c in free if c not in taken))
+    return out
+
+
 def small_side(ids: DataFrame, rows: int | None = None) -> DataFrame:
     """``ids`` (a staged table of ids) marked for broadcast if it has few rows, else as it is."""
     rows = ids.count() if rows is None else rows

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import components, linked_groups, small_side, staged
+from tidegrid.llm.common import components, fresh_names, linked_groups, small_side, staged
 
 #: The first fragment's share of the order: above the share that a linked document may miss.
 FIRST = 0.28
@@ -226,7 +226,8 @@ def ngram_components(
     component_id is the smallest doc_id reachable, the own
     one where there is no link. A null or empty text has no n-grams and links with nothing. Rows that
     repeat a doc_id are linked as one document would be. A row without an id takes part like any
-    other but is never the smallest; alone its component_id is null. An empty table gives no rows.
+    other but is never the smallest; alone its component_id is null. Very long texts are handled
+    whole. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     source = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text")
@@ -251,6 +252,8 @@ def ngram_components(
     )
     chosen = left.where("doc_id is not null").select("doc_id").distinct()
     texts = source.join(small_side(chosen, left.count()), "doc_id", "left_semi")
+    if not left.where("doc_id is null").isEmpty():  # classes of rows without ids only
+        texts = texts.union(source.where("doc_id is null"))
     fragments = _fragments(texts, words, num, den)
     # a repeated doc_id brings texts more than once, or other texts
     fragments = fragments.join(left.select("class"), "class", "left_semi")
@@ -367,13 +370,38 @@ def ngram_components(
     return rows if count_links else rows.drop("n_links")
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest doc_id.
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest doc_id, null ids last.
 
-    Rows that repeat a doc_id stay or go together; rows without an id stay.
+    A document is an id and a text: rows that share an id but not the text are judged by themselves,
+    rows without an id like any other, and of rows that repeat both one stays, the smallest by all
+    columns. Null, empty and blank texts link with nothing and stay, repeated or not. Very long texts
+    are handled whole; an empty table gives an empty table. All columns are kept as they are.
     """
-    found = ngram_components(docs.select("doc_id", "text"), count_links=False, **options)
+    its_id, its_hash = fresh_names(docs.columns, "near_id", "near_hash")
+    body, key = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
+    hashed = F.xxhash64(body)
+    ident = F.struct(key.isNull().alias("no_id"), key.alias("id"), hashed.alias("hash"))
+    found = ngram_components(docs.select(ident.alias("doc_id"), body.alias("text")), count_links=False, **options)
     gone = staged(
-        found.where("doc_id != component_id").select("doc_id").distinct(), "ngram-gone"
+        found.where("doc_id != component_id").select(
+            F.col("doc_id.id").alias(its_id), F.col("doc_id.hash").alias(its_hash)
+        ).distinct(),
+        "ngram-gone",
     )
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    same = key.eqNullSafe(F.col(its_id)) & (hashed == F.col(its_hash))
+    left = docs.join(small_side(gone), same, "left_anti")
+    again = staged(
+        docs.where(body.rlike("[^\\x20\\x09-\\x0D]"))
+        .groupBy(key.alias(its_id), hashed.alias(its_hash)).count().where("count > 1").drop("count"),
+        "ngram-again",
+    )
+    if again.isEmpty():
+        return left.select(docs.columns)
+    once = (
+        left.join(small_side(again), same, "left_semi")
+        .groupBy(key.alias(its_id), hashed.alias(its_hash))
+        .agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+        .select("row.*")
+    )
+    return left.join(small_side(again), same, "left_anti").union(once).select(docs.columns)

@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.common import fresh_names
+
 #: Rules in bit order: name and SQL condition that fails a document, over the measurements.
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
@@ -72,30 +74,33 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements, ``n_lines`` (lines with a word) and ``failed_bits``.
 
     A null or empty text has no words, so every measure is 0 and ``few_words`` fails. Repeated rows
-    and ids are judged row by row. Columns of ``docs`` with one of the new names are replaced.
+    and ids are judged row by row. Very long texts are measured whole, in memory that grows with one
+    text; an empty table gives an empty table. Other columns are kept, those with one of the new
+    names replaced.
     """
     gap = _SPACE.replace("\\\\", "\\")
     new = [*MEASURES, "failed_bits"]
     kept = [c for c in docs.columns if c not in new or c == text]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    base = docs.select(*[F.col(f"`{c}`") for c in kept], body.alias("__text")).withColumn(
-        "__words", F.filter(F.split("__text", f"{gap}+"), lambda w: w != "")
+    whole, words, lines_of = fresh_names([*docs.columns, *new], "__text", "__words", "__lines")
+    base = docs.select(*[F.col(f"`{c}`") for c in kept], body.alias(whole)).withColumn(
+        words, F.filter(F.split(whole, f"{gap}+"), lambda w: w != "")
     )
-    lines = "filter(split(__text, '\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    lines = f"filter(split({whole}, '\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     measured = base.select(
         *[F.col(f"`{c}`") for c in kept],
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.translate("__text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", "#*$%&|<>", "")))
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", "")))
         .cast("long").alias("n_symbols"),
         F.expr(f"transform(array({lines}), l -> struct(size(l) as n, size(array_distinct(l)) as d))[0]")
-        .alias("__lines"),
-        F.expr(_repeated("__words")).alias("n_repeat_words"),
+        .alias(lines_of),
+        F.expr(_repeated(words)).alias("n_repeat_words"),
     )
     counted = measured.select(
-        *[c for c in measured.columns if c != "__lines"],
-        F.col("__lines.n").cast("long").alias("n_lines"),
-        (F.col("__lines.n") - F.col("__lines.d")).cast("long").alias("n_dup_lines"),
+        *[F.col(f"`{c}`") for c in measured.columns if c != lines_of],
+        F.col(f"{lines_of}.n").cast("long").alias("n_lines"),
+        (F.col(f"{lines_of}.n") - F.col(f"{lines_of}.d")).cast("long").alias("n_dup_lines"),
     )
     bits = " | ".join(
         f"if({condition}, {1 << k}L, 0L)" for k, condition in enumerate(RULES.values())

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import staged
+from tidegrid.llm.common import fresh_names, staged
 from tidegrid.llm.recompression import levels, mix
 
 #: Bytes of text in one chunk; a longer text is a chunk by itself.
@@ -267,15 +267,6 @@ def repeated_bundles(found: DataFrame) -> DataFrame:
     )
 
 
-def _new_names(taken: list[str], *wanted: str) -> list[str]:
-    """The wanted names, with a number behind those that a table already has."""
-    out = []
-    for name in wanted:
-        free = [name, *(f"{name}{k}" for k in range(len(taken) + 1))]
-        out.append(next(c for c in free if c not in taken))
-    return out
-
-
 def drop_repeats(
     docs: DataFrame, window: int = 20, text: str = "text", doc_id: str = "doc_id", digest: bool = False,
     rounds: int | None = None,
@@ -301,7 +292,7 @@ def drop_repeats(
     last = "kept_sha256" if digest else "kept"
     docs = docs.drop(*(c for c in ("n_words", "n_removed", last) if c != text))
     columns = docs.columns
-    chunk, row, local, place, h1, h2 = _new_names(
+    chunk, row, local, place, h1, h2 = fresh_names(
         [*columns, "n_words", "n_removed", last], "chunk", "row", "local", "place", "h1", "h2"
     )
     rows = numbered(docs, text, chunk, row)

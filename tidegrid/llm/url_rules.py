@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import small_side, staged
+from tidegrid.llm.common import fresh_names, small_side, staged
 
 #: Urls of one host in a slice of the sweep, on average.
 SLICE_URLS = 20_000
@@ -90,8 +90,9 @@ def judge_urls(
     ``rules`` (host, path, verdict): of rules that fit, the one with the longest text wins, then the
     longer host; a prefix given as both allow and block blocks. A page that no rule fits gets a null
     rule and ``default``. Null urls and urls without ``://`` have an empty host and path, which no
-    rule with a host fits. Repeated urls are judged once. Columns of ``pages`` with one of the new
-    names are replaced; empty tables give an empty result or ``default`` for every page.
+    rule with a host fits. Repeated urls are judged once; a very long url is one row like any other.
+    Other columns are kept, those with one of the new names replaced; empty tables give an empty
+    result or ``default`` for every page.
     """
     new = ["host", "path", "rule", "verdict"]
     host, path = host_and_path(url)
@@ -141,8 +142,10 @@ def judge_urls(
         .select("url_host", "url_path", "best.rule", "best.verdict"),
         "url-verdicts",
     )
+    its_host, its_path = fresh_names(parsed.columns, "url_host", "url_path")
+    best = best.withColumnsRenamed({"url_host": its_host, "url_path": its_path})
     matched = parsed.join(
-        best, (F.col("host") == F.col("url_host")) & (F.col("path") == F.col("url_path")), "left"
+        best, (F.col("host") == F.col(its_host)) & (F.col("path") == F.col(its_path)), "left"
     )
     return matched.select(
         *kept, "host", "path", best["rule"], F.coalesce(best["verdict"], F.lit(default)).alias("verdict")
