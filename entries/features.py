@@ -429,20 +429,8 @@ def _(spark, d):
 
 @query(
     "e15_user_zones_feature_matrix",
-    sql(
-        """SELECT zone, ts_utc, price_eur_mwh, lag(price_eur_mwh, 24) OVER w AS price_lag_1d,
-  lag(price_eur_mwh, 168) OVER w AS price_lag_7d
-FROM (SELECT s.zone, s.ts_utc, u.price_eur_mwh FROM (
-        SELECT zone, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS ts_utc
-        FROM u GROUP BY zone) s
-      LEFT JOIN u ON u.zone = s.zone AND u.h = s.ts_utc)
-WINDOW w AS (PARTITION BY zone ORDER BY ts_utc) QUALIFY price_eur_mwh IS NOT NULL""",
-        "ev",
-    ).replace(
-        "WITH ev",
-        "WITH u AS (SELECT CAST(user_id AS VARCHAR) AS zone, date_trunc('hour', ts) AS h, "
-        "CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / (count(*) * 100e0) - 25e0 "
-        "AS price_eur_mwh FROM events GROUP BY 1, 2),\nev",
+    sql(_matrix_sql(), "g hrs ws act l", _MATRIX_DOUBLES, places=9).replace(
+        "event_type AS zone", "CAST(user_id AS VARCHAR) AS zone"
     ),
 )
 def _(spark, d):
@@ -451,4 +439,4 @@ def _(spark, d):
         market.load(spark, d, "user_id"),
         market.wind_solar(spark, d, "user_id"),
     )
-    return matrix.select("zone", "ts_utc", PRICE, "price_lag_1d", "price_lag_7d")
+    return rounded(matrix, *_MATRIX_DOUBLES.split(), places=9)

@@ -139,3 +139,27 @@ def test_rows_are_not_sent_by_zone_alone(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("block", [200, 2160])
+def test_moments_of_frames_equal_windows(spark, block):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"zone": "A", "ts_utc": hours(900), "v": rng.normal(50, 3, 900)})
+    pdf.loc[100:300, "v"] = 50.125  # constant windows
+    pdf.loc[400:430, "v"] = np.nan
+    pdf.loc[500:, "v"] = rng.normal(-30, 90, 400)
+    df = to_spark(spark, pdf.drop(index=range(600, 640)))
+
+    def build(w):
+        n, mean, std = blocks.frame_moments("v", -190, -24)
+        frame = w.rangeBetween(-190, -24)
+        v = F.col("v")
+        return {
+            "n": n, "mean": mean, "std": std, "n0": F.count(v).over(frame), "mean0": F.avg(v).over(frame),
+            "std0": F.stddev_samp(v).over(frame),
+        }
+
+    got = to_pandas(trailing(df, 191, build, block=block, moments=[("v", -190, -24)]))
+    assert (got.n == got.n0).all() and (got.std0 == 0).sum() > 30
+    for name in ("mean", "std"):
+        np.testing.assert_allclose(got[name].astype(float), got[f"{name}0"].astype(float), rtol=1e-9, atol=1e-9)

@@ -129,3 +129,14 @@ def test_one_extreme_value_leaves_bins_even(spark):
         f"percentile_approx(v, array({', '.join(str(i / BINS) + 'D' for i in range(1, BINS))}), {20 * BINS}) AS c")
     held = df.crossJoin(cuts).groupBy(F.expr("size(filter(c, x -> x <= v))")).count()
     assert held.agg(F.max("count")).first()[0] < 0.03 * len(values)
+
+
+def test_ranks_over_ranges_equal_one_window(spark):
+    from pyspark.sql import Window
+
+    rows = [(f"z{k:03}", None if k % 17 == 0 else float(k * 7919 % 40)) for k in range(300)]
+    df = spark.createDataFrame(rows, "zone string, score double")
+    want = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "zone")))
+    got = profiles.ranked(df, "score", ranges=7)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert profiles.ranked(df.where("false"), "score").count() == 0

@@ -28,12 +28,14 @@ def trailing(
     by: Sequence[str] = ("zone",),
     pos: str | None = None,
     block: int = BLOCK,
+    moments: Sequence[tuple[str, int, int]] = (),
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``before`` back.
 
     The window orders by the hour number, so RANGE frames count hours and need
     no rows for missing hours. With ``pos`` (a gapless row position) it orders
-    by that and frames count rows.
+    by that and frames count rows. ``moments`` (column, start, end) prepares the
+    frames whose count, mean and deviation ``frame_moments`` gives.
     """
     if block < before:
         raise ValueError("a block must be at least as long as the frame")
@@ -45,6 +47,13 @@ def trailing(
         "_block", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home)))
     )
     w = Window.partitionBy(*by, "_block").orderBy("_pos")
+    columns = sorted({c for c, _, _ in moments})
+    for step in (_centres, _running_sums):
+        d = d.withColumns({k: v for c in columns for k, v in step(c, w).items()})
+    ends = sorted({(c, at) for c, start, end in moments for at in (start - 1, end)})
+    d = d.withColumns({
+        f"_till_{c}_{at}": F.last(f"_sums_{c}").over(w.rangeBetween(Window.unboundedPreceding, at)) for c, at in ends
+    })
     made = build(w)
     kept = [F.col(c) for c in df.columns if c not in made]
     return (
@@ -54,6 +63,55 @@ def trailing(
     )
 
 
+def _centres(col: str, w: WindowSpec) -> dict[str, Column]:
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return {f"_centre_{col}": F.coalesce(F.avg(col).over(whole), F.lit(0.0))}
+
+
+def _running_sums(col: str, w: WindowSpec) -> dict[str, Column]:
+    """Count and sum up to each row of a block, and sums of its distances from the block's mean and
+    of their squares.
+
+    Each summand is cut into a multiple of a power of two, whose sums are exact in a double, and a
+    small rest, so that the difference of two running sums is as good as a sum over the frame.
+    """
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(col).cast("double")
+    v = x - F.col(f"_centre_{col}")
+
+    def parts(x: Column, bits: int) -> list[Column]:
+        scale = float(1 << bits)
+        main = F.rint(x * scale) / scale
+        return [F.coalesce(F.sum(part).over(upto), F.lit(0.0)) for part in (main, x - main)]
+
+    m, m_rest = parts(x, 20)
+    s, s_rest = parts(v, 20)
+    q, q_rest = parts(v * v, 16)
+    sums = F.struct(
+        F.count(v).over(upto).alias("n"), m.alias("m"), m_rest.alias("m_rest"), s.alias("s"), s_rest.alias("s_rest"), q.alias("q"), q_rest.alias("q_rest")
+    )
+    return {f"_sums_{col}": sums}
+
+
+def frame_moments(col: str, start: int, end: int) -> tuple[Column, Column, Column]:
+    """(count, mean, sample deviation) of ``col`` over the frame from ``start`` to ``end``.
+
+    The difference of two running sums: a row costs the same whatever the frame's length. The frame
+    must be one of the ``moments`` of ``trailing``. A deviation that is noise of the squares is 0.
+    """
+    last, before = F.col(f"`_till_{col}_{end}`"), F.col(f"`_till_{col}_{start - 1}`")
+
+    def total(name: str) -> Column:
+        return F.coalesce(last[name], F.lit(0)) - F.coalesce(before[name], F.lit(0))
+
+    n, s, q = total("n"), total("s") + total("s_rest"), total("q") + total("q_rest")
+    some = F.nullif(n, F.lit(0).cast("bigint"))
+    mean = (total("m") + total("m_rest")) / some
+    left = q - s * s / some
+    spread = F.when(left > q * 4e-15, left).otherwise(F.lit(0.0))
+    return n, mean, F.when(n > 1, F.sqrt(spread / (n - 1)))
+
+
 def hours_back(col: str, hours: int, w: WindowSpec) -> Column:
     """Value exactly ``hours`` earlier; NULL when that hour has no row."""
     return F.max(col).over(w.rangeBetween(-hours, -hours))
@@ -109,10 +167,12 @@ def trailing_rows(
     build: Callable[[WindowSpec], dict[str, Column]],
     by: Sequence[str] = ("zone",),
     block: int = BLOCK,
+    moments: Sequence[tuple[str, int, int]] = (),
 ) -> DataFrame:
     """``trailing`` for series with gaps: frames count rows, not hours."""
     numbered = with_position(df, by, name="_row")
-    return trailing(numbered, before, build, by, pos="_row", block=block).drop("_row")
+    made = trailing(numbered, before, build, by, pos="_row", block=block, moments=moments)
+    return made.drop("_row")
 
 
 def running(

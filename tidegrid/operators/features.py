@@ -23,11 +23,13 @@ from tidegrid.functions.time import (
     to_local,
 )
 from tidegrid.operators.align import merged_hours
-from tidegrid.operators.blocks import attach, hours_back, trailing
+from tidegrid.operators.blocks import attach, frame_moments, hours_back, trailing
 from tidegrid.operators.screen import null_as_zero_sum, wind_columns
 
 PRICE = "price_eur_mwh"
 WEEK = 168
+#: The week of hours that ends a day before the hour at hand.
+LAST_WEEK = (-(WEEK + 23), -24)
 
 # When each feature is known, relative to delivery day D.
 FEATURE_AVAILABILITY = {
@@ -74,14 +76,15 @@ def _lag_columns(price: str):
 
     def build(w):
         p = F.col(price)
-        week, day = w.rangeBetween(-(WEEK + 23), -24), w.rangeBetween(-47, -24)
-        seen_week, seen_day = F.count(p).over(week), F.count(p).over(day)
+        seen_week, mean, deviation = frame_moments(price, *LAST_WEEK)
+        day = w.rangeBetween(-47, -24)
+        seen_day = F.count(p).over(day)
         return {
             "price_lag_1d": hours_back(price, 24, w),
             "price_lag_2d": hours_back(price, 48, w),
             "price_lag_7d": hours_back(price, WEEK, w),
-            "price_rolling_7d_mean": F.when(seen_week >= 24, F.avg(p).over(week)),
-            "price_rolling_7d_std": F.when(seen_week >= 24, F.stddev_samp(p).over(week)),
+            "price_rolling_7d_mean": F.when(seen_week >= 24, mean),
+            "price_rolling_7d_std": F.when(seen_week >= 24, deviation),
             "price_rolling_24h_min": F.when(seen_day >= 24, F.min(p).over(day)),
             "price_rolling_24h_max": F.when(seen_day >= 24, F.max(p).over(day)),
         }
@@ -94,7 +97,8 @@ def lag_features(
 ) -> DataFrame:
     """Three lags, the 24-hour-shifted weekly mean and deviation (24 values
     needed) and the shifted daily minimum and maximum (all 24 needed)."""
-    return trailing(prices.select(*by, "ts_utc", price_col), WEEK + 23, _lag_columns(price_col), by)
+    rows = prices.select(*by, "ts_utc", price_col)
+    return trailing(rows, WEEK + 23, _lag_columns(price_col), by, moments=[(price_col, *LAST_WEEK)])
 
 
 def calendar_features(
@@ -259,7 +263,7 @@ def feature_matrix(
                 made["wind_forecast_error_lag1"] = hours_back("_error", 24, w)
         return made
 
-    rows = trailing(hourly, WEEK + 23, build, by).where("has_price")
+    rows = trailing(hourly, WEEK + 23, build, by, moments=[(PRICE, *LAST_WEEK)]).where("has_price")
     if full:
         # no wind row at this hour: no capacity factor either
         rows = rows.withColumn(
@@ -427,14 +431,10 @@ def rolling_volatility(
     """Trailing 7-day deviation including the current hour, 24 values needed."""
 
     def build(w):
-        frame = w.rangeBetween(-(WEEK - 1), 0)
-        return {
-            "rolling_7d_std": F.when(
-                F.count(col).over(frame) >= 24, F.stddev_samp(col).over(frame)
-            )
-        }
+        seen, _, deviation = frame_moments(col, -(WEEK - 1), 0)
+        return {"rolling_7d_std": F.when(seen >= 24, deviation)}
 
-    return trailing(df, WEEK - 1, build, by)
+    return trailing(df, WEEK - 1, build, by, moments=[(col, -(WEEK - 1), 0)])
 
 
 def look_ahead_demo(

@@ -411,14 +411,28 @@ def attractiveness(metrics: DataFrame) -> DataFrame:
     )
 
 
-def ranked(df: DataFrame, score: str, tie: str = "zone") -> DataFrame:
-    """One row per zone with its rank by score, best first.
+def ranked(df: DataFrame, score: str, tie: str = "zone", ranges: int = 64) -> DataFrame:
+    """Every row with its rank by score, best first; missing scores come last.
 
-    The input is a per-zone report, so the single ranking task sees zones, not
-    hours.
+    Rows are dealt to ranges of (score, tie) and written with the range's number,
+    numbered inside it, and lifted by the count of the ranges before: no task
+    sees more than its range, however many zones there are.
     """
-    w = Window.orderBy(F.desc(score), tie)
-    return df.withColumn("rank", F.row_number().over(w))
+    order = (F.desc(score), F.asc(tie))
+    dealt = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    rows = staged(dealt, "ranked")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most ``ranges`` rows
+        .select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return (
+        rows.withColumn("rank", F.row_number().over(inside))
+        .join(offsets, "_range")
+        .withColumn("rank", (F.col("rank") + F.col("_before")).cast("int"))
+        .drop("_range", "_before")
+    )
 
 
 def error_by_hour(

@@ -17,7 +17,7 @@ from tidegrid.functions.time import (
     local_date,
 )
 from tidegrid.operators.align import align_to, dedup, gaps, hour_span
-from tidegrid.operators.blocks import attach, trailing_rows
+from tidegrid.operators.blocks import attach, frame_moments, trailing_rows
 from tidegrid.operators.screen import out_of_range
 
 # Quality gates in percent, and the outlier count worth a warning.
@@ -313,14 +313,13 @@ def detect_outliers(
     span = window_days * 24
 
     def build(w):
-        frame = w.rowsBetween(-(span - 1), 0)
-        enough = F.count(col).over(frame) >= 24
+        seen, mean, deviation = frame_moments(col, -(span - 1), 0)
         return {
-            "rolling_mean": F.when(enough, F.avg(col).over(frame)),
-            "rolling_std": F.nullif(F.when(enough, F.stddev_samp(col).over(frame)), F.lit(0.0)),
+            "rolling_mean": F.when(seen >= 24, mean),
+            "rolling_std": F.nullif(F.when(seen >= 24, deviation), F.lit(0.0)),
         }
 
-    rows = trailing_rows(df.select(*by, "ts_utc", col), span - 1, build, by)
+    rows = trailing_rows(df.select(*by, "ts_utc", col), span - 1, build, by, moments=[(col, -(span - 1), 0)])
     z = (F.col(col) - F.col("rolling_mean")) / F.col("rolling_std")
     extreme = F.coalesce(F.col(col) > extreme_high_threshold, F.lit(False))
     spike = F.coalesce(F.col("z_score") > z_threshold, F.lit(False))
