@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from entries.base import EVENT_ZONES, PRICE, PRIORITY, grid, registry, rounded, sql
 from tidegrid.functions.time import hour_floor, local_date
 from tidegrid.operators import align, profiles, screen
+from tidegrid.sources import dims
 from tidegrid.sources import market_events as market
 
 QUERIES, SQL, query = registry()
@@ -117,6 +118,20 @@ def _(spark, d):
     return align.gaps(market.prices(spark, d))
 
 
+@query(
+    "c06_gap_intervals",
+    sql(
+        """SELECT zone, h + INTERVAL 1 HOUR AS start, n - INTERVAL 1 HOUR AS "end",
+  date_diff('hour', h, n) - 1 AS n_hours
+FROM (SELECT zone, ts_utc AS h, lead(ts_utc) OVER (PARTITION BY zone ORDER BY ts_utc) AS n FROM p)
+WHERE n > h + INTERVAL 1 HOUR""",
+        "p",
+    ),
+)
+def _(spark, d):
+    return align.gap_intervals(market.prices(spark, d))
+
+
 _WIDE = """(SELECT zone, ts_utc, max(price_eur_mwh) FILTER (WHERE source = 'energinet') AS energinet,
   max(price_eur_mwh) FILTER (WHERE source = 'entsoe') AS entsoe FROM ps GROUP BY zone, ts_utc)"""
 
@@ -278,6 +293,69 @@ def _(spark, d):
     return labelled.join(hours, "from_zone")
 
 
+# the 40-edge table, over events dealt to the real market zones
+_MARKET = f"""mz(zone, label, capacity_mw) AS (SELECT * FROM (VALUES {
+    ", ".join(f"('{z[0]}', '{z[1]}', 0)" for z in dims.ZONES)})),
+links(from_zone, to_zone, capacity_mw) AS (SELECT * FROM (VALUES {
+    ", ".join(f"('{a}', '{b}', {c})" for a, b, c in dims.INTERCONNECTORS)})),
+mp AS (
+  SELECT [{", ".join(f"'{z[0]}'" for z in dims.ZONES)}][k % {len(dims.ZONES)} + 1] AS zone, h AS ts_utc,
+         CAST(sum(c) AS BIGINT) / (count(*) * 100e0) - 25e0 AS price_eur_mwh
+  FROM ev GROUP BY ALL)"""
+
+
+def _market_sql(body: str, r: str = "") -> str:
+    text = sql("", "ev") + f",\n{_MARKET}\n{body}"
+    swaps = ", ".join(f"round({c}, 6) + 0 AS {c}" for c in r.split())
+    return f"SELECT * REPLACE ({swaps}) FROM (\n{text}\n)" if r else text
+
+
+@query(
+    "c11_interconnector_prices",
+    _market_sql(
+        """SELECT from_zone, to_zone, e.capacity_mw, a.ts_utc, a.price_eur_mwh AS price_from,
+  b.price_eur_mwh AS price_to
+FROM links e JOIN mp a ON a.zone = from_zone JOIN mp b ON b.zone = to_zone AND b.ts_utc = a.ts_utc"""
+    ),
+)
+def _(spark, d):
+    return align.edge_prices(dims.interconnectors(spark), market.prices(spark, d, market.market_zones()))
+
+
+@query(
+    "c12_interconnector_labels",
+    _market_sql(
+        """SELECT from_zone, to_zone, e.capacity_mw, a.label AS from_label, b.label AS to_label,
+  count(p.ts_utc) AS n_hours
+FROM links e LEFT JOIN mz a ON a.zone = from_zone LEFT JOIN mz b ON b.zone = to_zone
+LEFT JOIN mp p ON p.zone = from_zone GROUP BY ALL"""
+    ),
+)
+def _(spark, d):
+    prices = market.prices(spark, d, market.market_zones())
+    hours = prices.groupBy(F.col("zone").alias("from_zone")).agg(F.count("ts_utc").alias("n_hours"))
+    labelled = align.edge_labels(dims.interconnectors(spark), dims.zones(spark))
+    return labelled.join(hours, "from_zone", "left").na.fill(0, ["n_hours"])
+
+
+@query(
+    "f09_interconnector_spreads",
+    _market_sql(
+        """SELECT from_zone, to_zone, CAST(a.ts_utc + INTERVAL 1 HOUR AS DATE) AS day,
+  avg(abs(a.price_eur_mwh - b.price_eur_mwh)) AS spread
+FROM links e JOIN mp a ON a.zone = from_zone JOIN mp b ON b.zone = to_zone AND b.ts_utc = a.ts_utc
+GROUP BY ALL""",
+        "spread",
+    ),
+)
+def _(spark, d):
+    prices = market.prices(spark, d, market.market_zones())
+    rows = align.edge_prices(dims.interconnectors(spark), prices)
+    spread = rows.withColumn("spread", F.abs(F.col("price_from") - F.col("price_to")))
+    days = spread.groupBy("from_zone", "to_zone", local_date("ts_utc").alias("day"))
+    return rounded(days.agg(F.avg("spread").alias("spread")))
+
+
 _DAYS = "(SELECT zone, CAST(ts_utc + INTERVAL 1 HOUR AS DATE) AS d, price_eur_mwh FROM p)"
 
 

@@ -116,3 +116,14 @@ def test_first_of_repeated_rows_counts(spark):
     assert {r.zone: r.v for r in filled.collect()} == {"A": 10.0, "B": None}
     matrix = align.price_matrix(df.where("source = 'a'"), "v", ["A", "B"], order="seq").first()
     assert (matrix.A, matrix.B) == (10.0, None)
+
+
+def test_gap_intervals_cost_one_row_each(spark):
+    at = [*hours(3), *hours(2, START + dt.timedelta(hours=10)), *hours(5, START + dt.timedelta(days=3650))]
+    rows = [(z, t) for z in "AB" for t in at] + [("C", START)] + [("A", START)]
+    df = spark.createDataFrame(rows, "zone string, ts_utc timestamp_ntz")
+    got = sorted((r.zone, r.n_hours) for r in align.gap_intervals(df).collect())
+    assert got == [(z, n) for z in "AB" for n in (7, 3650 * 24 - 12)]
+    short = df.where("ts_utc < '2026-01-01'")
+    missing = {(r.zone, r.ts_utc) for r in align.gaps(short, ).collect()}
+    assert missing == {(z, START + dt.timedelta(hours=h)) for z in "AB" for h in range(3, 10)}

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.time import hour_no, hour_ts
-from tidegrid.operators.blocks import attach
+from tidegrid.operators.blocks import BLOCK, attach
 
 KEYS = ("zone", "ts_utc")
 
@@ -135,10 +135,30 @@ def merged_hours(
     )
 
 
+def gap_intervals(df: DataFrame, by: Sequence[str] = ("zone",), block: int = BLOCK) -> DataFrame:
+    """Runs of missing hours between stored ones: ``by…, start, end, n_hours`` (end inclusive).
+
+    Each hour looks at its successor inside a block; the ends of blocks look at
+    the next block that has rows, on a table of one row per block. A hole costs
+    one interval however long it is, and no grid is made.
+    """
+    hours = df.select(*by, hour_no("ts_utc").alias("_hour")).withColumn("_block", F.floor(F.col("_hour") / block))
+    inside = Window.partitionBy(*by, "_block").orderBy("_hour")
+    within = hours.select(*by, F.col("_hour").alias("_from"), F.lead("_hour").over(inside).alias("_to"))
+    ends = hours.groupBy(*by, "_block").agg(F.min("_hour").alias("_lo"), F.max("_hour").alias("_from"))
+    following = Window.partitionBy(*by).orderBy("_block")
+    between = ends.select(*by, "_from", F.lead("_lo").over(following).alias("_to"))
+    holes = within.unionByName(between).where(F.col("_to") - F.col("_from") > 1)
+    return holes.select(
+        *by, hour_ts(F.col("_from") + 1).alias("start"), hour_ts(F.col("_to") - 1).alias("end"),
+        (F.col("_to") - F.col("_from") - 1).alias("n_hours"),
+    )
+
+
 def gaps(df: DataFrame, by: Sequence[str] = ("zone",)) -> DataFrame:
     """Hours missing between the first and last stored hour of each series."""
-    present = df.select(*by, hour_no("ts_utc").alias("hour"))
-    missing = hour_skeleton(df, by).join(present, [*by, "hour"], "left_anti")
+    hours = F.sequence(hour_no("start"), hour_no("end"))
+    missing = gap_intervals(df, by).select(*by, F.explode(hours).alias("hour"))
     return missing.select(*by, hour_ts("hour").alias("ts_utc"))
 
 
@@ -304,17 +324,21 @@ def training_rows(
 ) -> DataFrame:
     """Walk-forward membership: each row once per fold it trains.
 
-    A row of day ``d`` trains the folds ``d+1 … d+window_days``; the range
-    predicate becomes an equi join on (series, fold day). This is a report, with
-    ``window_days`` rows for each hour: models take the daily sums of
-    ``forecast.walk_forward`` instead.
+    A row of day ``d`` trains the folds ``d+1 … d+window_days``. Fold windows are
+    cut on buckets of ``window_days`` days, two or less each, and the rows meet them
+    by (series, bucket), once and without copies; the range is checked inside a
+    bucket. The result has ``window_days`` rows for each hour: it is a report, and
+    models take the daily sums of ``forecast.walk_forward`` instead.
     """
+    bucket = lambda date: F.floor(F.unix_date(date) / window_days)
     folds = fold_days(df, day, window_days, by)
-    fan = df.withColumn(
-        "fold_day",
-        F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, window_days))),
+    first = F.date_sub("fold_day", window_days)
+    windows = folds.withColumn(
+        "_bucket", F.explode(F.sequence(bucket(first), bucket(F.date_sub("fold_day", 1))))
     )
-    return fan.join(folds, [*by, "fold_day"], "left_semi")
+    met = df.withColumn("_bucket", bucket(F.col(day))).join(windows, [*by, "_bucket"])
+    inside = (F.col(day) >= first) & (F.col(day) < F.col("fold_day"))
+    return met.where(inside).select(*df.columns, "fold_day")
 
 
 def fold_days(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local-mode session
-    without that setting gets a temporary folder of its own.
+    It is named in ``spark.checkpoint.dir``, or set on the context by
+    ``setCheckpointDir``. Nothing is kept on one machine: a session without
+    either is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="tidegrid-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return configured
 
 
 def staging_path(spark: SparkSession, label: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.time import hour_floor
+from tidegrid.sources import dims
 from tidegrid.sources.dims import values_table
 
 # Zones linked in the derived market, with capacities in MW.
@@ -55,6 +56,12 @@ def twenty_zones() -> Column:
     return F.concat(F.lit("Z"), F.floor(share_key() / 5))
 
 
+def market_zones() -> Column:
+    """The real market zones in turn, by the share key."""
+    names = F.array(*[F.lit(z[0]) for z in dims.ZONES])
+    return F.get(names, share_key() % len(dims.ZONES))
+
+
 def source_of() -> Column:
     """Which source delivered an event: by the half minute it falls into."""
     return F.when(F.second("ts") < 30, "energinet").otherwise("entsoe")
