@@ -237,6 +237,27 @@ def _(spark, d):
     )
 
 
+def _landed(spark, payloads, label: str) -> str:
+    """A folder of JSON files holding the documents of a payload table."""
+    path = staging_path(spark, label)
+    payloads.select("payload").write.text(path)
+    return path
+
+
+@query(
+    "a08_spot_from_landed_files",
+    sql(
+        """SELECT 'energinet' AS source, zone, ts_utc, price_eur_mwh,
+       price_eur_mwh * 7.46e0 AS price_dkk_mwh FROM p""",
+        "p",
+    ),
+)
+def _(spark, d):
+    rows = market.prices(spark, d).withColumn("dkk", F.col(PRICE) * 7.46)
+    path = _landed(spark, _payloads(rows, {"SpotPriceEUR": PRICE, "SpotPriceDKK": "dkk"}), "spot-files")
+    return records.normalise_spot(records.read_records(spark, path))
+
+
 def _quarter_production(spark, d):
     """Quarter-hourly production records, as text payloads."""
     k, c = market.share_key(), market.cents("value")
@@ -729,6 +750,28 @@ def _(spark, d):
     return rounded(store.ok_summary(records_))
 
 
+@query(
+    "a23_summary_file",
+    sql(
+        f"""SELECT zone, total_pnl AS backtest_pnl, sharpe_ratio AS sharpe, win_rate_pct AS win_pct,
+       n_trades AS trades, n_trading_days AS n_test_days
+FROM ({summary_sql('zone', 'res')}) WHERE total_pnl > 0""",
+        "res",
+        "backtest_pnl sharpe win_pct",
+    ),
+)
+def _(spark, d):
+    summary = backtest_summary(results(spark, d)).withColumnRenamed("n_trading_days", "n_test_days")
+    status = F.when(F.col("total_pnl") > 0, "ok").otherwise("no_results")
+    path = staging_path(spark, "summary-file")
+    listed = summary.withColumn("status", status).agg(  # one record per zone
+        F.to_json(F.collect_list(F.struct("zone", "status", "total_pnl", "sharpe_ratio", "win_rate_pct",
+                                          "n_trades", "n_test_days")))
+    )
+    listed.write.text(path)
+    return rounded(store.read_summary(spark, path))
+
+
 @query(
     "a24_zone_dimension",
     sql(

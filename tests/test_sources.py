@@ -196,3 +196,24 @@ def test_dimensions(spark):
     ends = {z for r in dims.interconnectors(spark).collect() for z in (r.from_zone, r.to_zone)}
     assert ends <= known
     assert dims.feature_availability(spark).count() == 17
+
+
+def test_records_are_cut_out_of_large_files(spark, tmp_path):
+    record = lambda k: {"HourUTC": (START + dt.timedelta(hours=k // 2)).isoformat(), "PriceArea": f"DK{k % 2 + 1}",
+                        "SpotPriceEUR": k, "SpotPriceDKK": None, "note": "x" * (k % 50)}
+    first = {"total": 4000, "limit": {"n": 1}, "records": [record(k) for k in range(4000)]}
+    (tmp_path / "a.json").write_text(json.dumps(first, indent=1))
+    again = {"records": [record(0) | {"SpotPriceEUR": -1}, record(0) | {"SpotPriceEUR": -2}]}
+    (tmp_path / "b.json").write_text(json.dumps(again) + "\n")
+    (tmp_path / "c.json").write_text(json.dumps({"records": []}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = records.read_records(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 10  # one file, many tasks
+        rows = records.normalise_spot(found)
+        whole = records.normalise_spot(records.read_payloads(spark, str(tmp_path)))
+        assert sorted(map(str, rows.collect())) == sorted(map(str, whole.collect()))
+        got = {(r.zone, r.ts_utc): r.price_eur_mwh for r in rows.collect()}
+        assert len(got) == 4000 and got["DK_1", START] == -2.0 and got["DK_2", START] == 1.0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

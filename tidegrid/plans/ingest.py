@@ -24,11 +24,11 @@ def ingest_payloads(
 ) -> None:
     """Spot-price and production documents into prices, production, wind/solar
     and load. Overlapping documents: the later file wins."""
-    spot = records.normalise_spot(records.read_payloads(spark, spot_path))
+    spot = records.normalise_spot(records.read_records(spark, spot_path))
     prices = spot.where(F.col("price_eur_mwh").isNotNull())
     merge_into(_stored_shape(prices, "day_ahead_prices"), root, "day_ahead_prices")
 
-    production = records.normalise_production(records.read_payloads(spark, production_path))
+    production = records.normalise_production(records.read_records(spark, production_path))
     merge_into(_stored_shape(production, "production_exchange"), root, "production_exchange")
     merge_into(records.wind_solar_of(production), root, "wind_solar_forecast")
     merge_into(records.load_of(production), root, "load_forecast")

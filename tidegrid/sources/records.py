@@ -1,7 +1,8 @@
 """Landed API payloads and client frames → canonical series.
 
-Payload frames have one JSON document per row in ``payload``; documents are
-one request's worth of records, so exploding them stays small per row.
+Landed files are cut into records while they are read (``read_records``), so a
+file of any size spreads over many tasks and is never one row. Payload frames,
+with one JSON document per row in ``payload``, serve responses held in a table.
 """
 
 from __future__ import annotations
@@ -41,6 +42,22 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The flat objects in landed JSON files, as text: ``record, file, block, at``.
+
+    Spark's text reader splits files at every closing brace; what follows the
+    last opening brace of a piece is a record. Braces inside strings are not
+    expected in these files: a record with one doesn't parse and is left out.
+    ``file``, ``block`` and ``at`` give the order in which records landed.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path)
+    return pieces.where(F.instr("value", "{") > 0).select(
+        F.concat(F.lit("{"), F.substring_index("value", "{", -1), F.lit("}")).alias("record"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+
+
 def _utc_text(text):
     """UTC wall clock of a landed timestamp; a trailing Z or +00:00 is dropped."""
     bare = F.regexp_replace(text, r"(Z|[+-]00:?00)$", "")
@@ -51,13 +68,21 @@ def _utc_text(text):
 def _records(payloads: DataFrame, fields: dict[str, str]) -> DataFrame:
     """One typed row per record with ``_seq``, its place in landing order.
 
-    Later files and later records of a file come last; without a ``file``
-    column only the place inside the document counts.
+    Takes payloads or the rows of ``read_records``. Later files and later records
+    of a file come last; of payloads without a ``file`` column only the place
+    inside the document counts.
     """
-    inner = ", ".join(f"{f}: string" for f in ("HourUTC", "PriceArea", *fields))
-    parsed = F.from_json("payload", f"records array<struct<{inner}>>").getField("records")
-    file = F.col("file") if "file" in payloads.columns else F.lit("")
-    rows = payloads.select(file.alias("_file"), F.posexplode(parsed).alias("_at", "r"))
+    names = ("HourUTC", "PriceArea", *fields)
+    if "record" in payloads.columns:
+        parsed = F.from_json("record", ", ".join(f"{f} string" for f in names))
+        rows = payloads.select(
+            F.col("file").alias("_file"), F.struct("block", "at").alias("_at"), parsed.alias("r")
+        ).where("r.HourUTC IS NOT NULL AND r.PriceArea IS NOT NULL")
+    else:
+        inner = ", ".join(f"{f}: string" for f in names)
+        parsed = F.from_json("payload", f"records array<struct<{inner}>>").getField("records")
+        file = F.col("file") if "file" in payloads.columns else F.lit("")
+        rows = payloads.select(file.alias("_file"), F.posexplode(parsed).alias("_at", "r"))
     return rows.select(
         _zone_from_area(F.col("r.PriceArea")).alias("zone"),
         _utc_text(F.col("r.HourUTC")).alias("ts_utc"),
