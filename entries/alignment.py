@@ -306,7 +306,7 @@ mp AS (
 
 def _market_sql(body: str, r: str = "") -> str:
     text = sql("", "ev") + f",\n{_MARKET}\n{body}"
-    swaps = ", ".join(f"round({c}, 6) + 0 AS {c}" for c in r.split())
+    swaps = ", ".join(f"round({c}, 9) + 0 AS {c}" for c in r.split())
     return f"SELECT * REPLACE ({swaps}) FROM (\n{text}\n)" if r else text
 
 
@@ -353,7 +353,7 @@ def _(spark, d):
     rows = align.edge_prices(dims.interconnectors(spark), prices)
     spread = rows.withColumn("spread", F.abs(F.col("price_from") - F.col("price_to")))
     days = spread.groupBy("from_zone", "to_zone", local_date("ts_utc").alias("day"))
-    return rounded(days.agg(F.avg("spread").alias("spread")))
+    return rounded(days.agg(F.avg("spread").alias("spread")), places=9)
 
 
 _DAYS = "(SELECT zone, CAST(ts_utc + INTERVAL 1 HOUR AS DATE) AS d, price_eur_mwh FROM p)"

@@ -348,6 +348,36 @@ def _(spark, d):
     return rounded(made, "predicted_price")
 
 
+_SINGLE = f"""SELECT p.zone, p.ts_utc, p.hour, {_ridge()} * p.x AS single, p.y AS y
+FROM lp p JOIN (SELECT zone, fold, {_REGRESSION} FROM win JOIN usable USING (zone, fold)
+                GROUP BY zone, fold) m ON m.zone = p.zone AND m.fold = p.local_date"""
+_HOURLY = f"""SELECT p.zone, p.ts_utc, coalesce({_ridge()} * p.x, 0) AS per_hour
+FROM lp p JOIN usable u ON u.zone = p.zone AND u.fold = p.local_date
+LEFT JOIN (SELECT zone, fold, hour, {_REGRESSION} FROM win GROUP BY zone, fold, hour
+           HAVING count(*) >= 10) m ON m.zone = p.zone AND m.fold = p.local_date AND m.hour = p.hour"""
+
+
+@query(
+    "g10_single_against_per_hour",
+    "SELECT * REPLACE (round(mae_single, 6) AS mae_single, round(mae_per_hour, 6) AS mae_per_hour) FROM (\n"
+    f"""WITH {_LONG}
+SELECT *, CASE WHEN mae_single < mae_per_hour THEN 'Single' ELSE 'Per-Hour' END AS winner
+FROM (SELECT zone, CAST(hour AS INTEGER) AS hour, avg(abs(y - single)) AS mae_single,
+        avg(abs(y - per_hour)) AS mae_per_hour
+      FROM ({_SINGLE}) JOIN ({_HOURLY}) USING (zone, ts_utc) GROUP BY 1, 2))""",
+)
+def _(spark, d):
+    rows = market.long_series(spark, d)
+    single, hourly = (
+        forecast.walk_forward(rows, PRICE, ["demand"], window_days=WINDOW, day_tz="UTC", per_hour=per_hour)
+        for per_hour in (False, True)
+    )
+    both = single.withColumnRenamed("predicted_price", "single").join(
+        hourly.select("zone", "ts_utc", F.col("predicted_price").alias("per_hour")), ["zone", "ts_utc"]
+    )
+    return rounded(forecast.hourly_winner(both, "actual_price", "single", "per_hour", day_tz="UTC"))
+
+
 def _long_matrix(spark, d):
     """Features of the long series, as a written table; boosted trees take rows with gaps."""
     rows = staged(market.long_series(spark, d), "long-series")

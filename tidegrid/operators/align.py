@@ -309,7 +309,7 @@ def edge_prices(edges: DataFrame, prices: DataFrame, col: str = "price_eur_mwh")
     """Prices at both ends of each interconnector at the same hour."""
     left = prices.select(F.col("zone").alias("from_zone"), "ts_utc", F.col(col).alias("price_from"))
     right = prices.select(F.col("zone").alias("to_zone"), "ts_utc", F.col(col).alias("price_to"))
-    return edges.join(left, "from_zone").join(right, ["to_zone", "ts_utc"])
+    return attach(left, edges, ["from_zone"]).join(right, ["to_zone", "ts_utc"])
 
 
 def edge_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:

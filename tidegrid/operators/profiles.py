@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.stats import pair_count, pearson, share_pct
-from tidegrid.functions.time import MARKET_TZ, local_date, local_hour, local_month, week_end
+from tidegrid.functions.time import MARKET_TZ, hour_no, local_date, local_hour, local_month, week_end
 from tidegrid.operators.align import edge_prices
-from tidegrid.operators.blocks import attach, hours_back, trailing
+from tidegrid.operators.blocks import BLOCK, attach, hours_back, trailing
 from tidegrid.operators.quantiles import quantile_columns
 from tidegrid.operators.screen import calendar_parts, clip_to_quantiles
 from tidegrid.session import staged
@@ -157,7 +158,7 @@ def lagged_cross_correlation(
     other = shifted.select(
         F.col("zone").alias("neighbour"), "ts_utc", *[f"_l{k}" for k in lags]
     )
-    paired = both_ways.join(own, "zone").join(other, ["neighbour", "ts_utc"])
+    paired = attach(own, both_ways).join(other, ["neighbour", "ts_utc"])
     aggs = []
     for k in lags:
         enough = pair_count(F.col("_own"), F.col(f"_l{k}")) > min_pairs
@@ -166,22 +167,64 @@ def lagged_cross_correlation(
 
 
 def autocorrelation(
-    prices: DataFrame, col: str = PRICE, max_lag: int = 72, by: Sequence[str] = ("zone",)
+    prices: DataFrame, col: str = PRICE, max_lag: int = 72, by: Sequence[str] = ("zone",), block: int = BLOCK
 ) -> DataFrame:
     """Autocorrelation at lags 1…n.
 
-    The lags are columns of one blocked window; exploding them feeds a
-    map-side-combined aggregate, so the copies never cross the network.
+    A block of hours, with the ``max_lag`` before it, becomes one array; a task
+    multiplies it with itself shifted by every lag and sends one row per lag:
+    counts, means and centred products, which add up over blocks. No row is
+    copied per lag. Hours must be unique per series.
     """
-    lags = trailing(
-        prices.select(*by, "ts_utc", col),
-        max_lag,
-        lambda w: {"_lags": F.array(*[hours_back(col, k, w) for k in range(1, max_lag + 1)])},
+    import pyarrow as pa
+
+    hour = hour_no("ts_utc").cast("bigint")
+    home = F.floor(hour / block)
+    blocks = F.when(F.pmod(hour, F.lit(block)) >= block - max_lag, F.array(home, home + 1)).otherwise(F.array(home))
+    rows = prices.where(F.col(col).isNotNull()).select(
+        *by, hour.alias("_hour"), F.col(col).cast("double").alias("_x"), F.explode(blocks).alias("_block")
+    )
+    sums = ("_n", "_mx", "_my", "_xx", "_yy", "_xy")
+    kinds = ", ".join(f"`{c}` {prices.schema[c].dataType.simpleString()}" for c in by)
+
+    def products(table):
+        at = table.column("_hour").to_numpy()
+        start = int(table.column("_block")[0].as_py()) * block
+        x = np.full(block + max_lag, np.nan)
+        x[at - start + max_lag] = table.column("_x").to_numpy()
+        own, out = x[max_lag:], []
+        for lag in range(1, max_lag + 1):
+            y = x[max_lag - lag : max_lag - lag + block]
+            both = ~(np.isnan(own) | np.isnan(y))
+            n = int(both.sum())
+            if n:
+                a, b = own[both], y[both]
+                ma, mb = a.mean(), b.mean()
+                a, b = a - ma, b - mb
+                out.append((lag, n, ma, mb, a @ a, b @ b, a @ b))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        key = {c: table.column(c).take(pa.array([0] * len(out), pa.int64())) for c in by}
+        types = [pa.int32(), pa.int64(), *[pa.float64()] * 5]
+        values = {c: pa.array(v, t) for c, v, t in zip(("lag_hours", *sums), columns, types, strict=True)}
+        return pa.table({**key, **values})
+
+    parts = rows.groupBy(*by, "_block").applyInArrow(
+        products, f"{kinds}, lag_hours int, _n long, " + ", ".join(f"{c} double" for c in sums[1:])
+    )
+    keys = [*by, "lag_hours"]
+    of_lag = Window.partitionBy(*keys)  # one row per block
+    mean = lambda c: F.sum(F.col("_n") * F.col(c)).over(of_lag) / F.sum("_n").over(of_lag)
+    centred = parts.withColumn("_dx", F.col("_mx") - mean("_mx")).withColumn("_dy", F.col("_my") - mean("_my"))
+    total = lambda c, a, b: F.sum(F.col(c) + F.col("_n") * F.col(a) * F.col(b))
+    spread = F.sqrt(total("_xx", "_dx", "_dx")) * F.sqrt(total("_yy", "_dy", "_dy"))
+    found = centred.groupBy(*keys).agg(
+        F.when(F.sum("_n") > 1, total("_xy", "_dx", "_dy") / F.nullif(spread, F.lit(0.0))).alias("r")
     )
-    long = lags.select(*by, F.col(col).alias("_x"), F.posexplode("_lags").alias("_k", "_y"))
-    return long.groupBy(*by, (F.col("_k") + 1).alias("lag_hours")).agg(
-        pearson(F.col("_x"), F.col("_y")).alias("r")
+    # lags without a pair of hours stay, as NULL
+    every = prices.select(*by).distinct().withColumn(
+        "lag_hours", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))
     )
+    return every.join(found, keys, "left").select(*keys, "r")
 
 
 def adjacent_correlation(
