@@ -76,3 +76,29 @@ def test_word_ids_are_the_librarys():
     library, own = Tokenizer.from_file(word), WordIds(word)
     for text, ids in zip(TEXTS, own.encode_all(TEXTS), strict=False):
         assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_short_pieces_are_merged_together():
+    own = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    library, texts = own.library, [t or "" for t in TEXTS] + ["naïve Straße über", "q" * 64 + " " + "xyz" * 400]
+
+    class Long:
+        def tokenize(self, piece):
+            assert len(piece) > 64  # the library's model is for long pieces only
+            return library.model.tokenize(piece)
+
+    own.model = Long()
+    for text, ids in zip(texts, own.encode_all(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_failed_lookup_leaves_no_words():
+    def learn(words):
+        if "bad" in words:
+            raise ValueError
+        return np.arange(len(words), dtype=np.uint32), np.ones(len(words), np.int64)
+
+    table = bpe.WordTable(learn)
+    with pytest.raises(ValueError):
+        table.look_up(["a", "bad"])
+    assert table.look_up(["a", "b", "a"])[0].tolist() == [0, 1, 0]

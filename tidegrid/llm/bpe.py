@@ -2,8 +2,8 @@
 
 A worker splits a batch of texts into words, looks them up in a bounded cache and encodes those it
 doesn't know together: their symbols stand in one flat array. In a round every word merges its pair
-of lowest rank, wherever it occurs; ranks come from a binary search over the sorted pair keys. Words
-without a known pair leave the array. Spark carries batches of rows; nothing is shuffled.
+of lowest rank, wherever it occurs; ranks come from hash tables of the pair keys. Words without a
+known pair leave the array. Spark carries batches of rows; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from itertools import islice, repeat
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import regex
@@ -27,6 +28,8 @@ CACHE_WORDS = 1_000_000
 #: Words of one text handled at a time.
 CHUNK_WORDS = 200_000
 _NONE = np.int64(1) << 62
+#: Bits of a slot number in the tables of pair keys.
+SLOT_BITS = 20
 
 
 def byte_symbols() -> dict[int, str]:
@@ -48,7 +51,7 @@ def unassigned() -> np.ndarray:
 
 
 class Merges:
-    """Sorted pair keys of a merge list, with each pair's rank and merged id."""
+    """Pair keys of a merge list, with each pair's rank and merged id."""
 
     def __init__(self, vocab: dict[str, int], merges: list):
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
@@ -58,6 +61,35 @@ class Merges:
         _, first = np.unique(keys, return_index=True)  # a pair listed twice keeps its first rank
         self.keys, self.rank = keys[first], first.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[first]
+        # a key has a slot of its own in the first table or, where another took it, in a later one
+        places = np.arange(len(self.keys), dtype=np.int32)
+        self.factors, self.slots = [], []
+        odd = 0x9E3779B97F4A7C15
+        while len(places):
+            factor = np.uint64(odd)
+            slots = np.zeros(1 << SLOT_BITS, np.int32)
+            at = self._slot(self.keys[places], factor)
+            slots[at] = places
+            places = places[slots[at] != places]
+            self.factors.append(factor)
+            self.slots.append(slots)
+            odd = odd * 0xBF58476D1CE4E5B9 % (1 << 64)
+
+    @staticmethod
+    def _slot(key: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return (key.astype(np.uint64) * factor) >> np.uint64(64 - SLOT_BITS)
+
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key in ``keys``, and whether it has one."""
+        at, known = np.zeros(len(key), np.int32), np.zeros(len(key), bool)
+        left = np.arange(len(key))
+        for factor, slots in zip(self.factors, self.slots, strict=True):
+            found = slots[self._slot(key[left], factor)]
+            at[left] = found
+            hit = self.keys[found] == key[left]
+            known[left] = hit
+            left = left[~hit]
+        return at, known
 
     def encode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of many words in a row -> their merged ids and lengths, word by word."""
@@ -68,8 +100,7 @@ class Merges:
             rank, place = np.full(len(ids), _NONE), np.zeros(len(ids), np.int64)
             near = np.flatnonzero(word[:-1] == word[1:])
             key = ids[near] << 32 | ids[near + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
+            at, known = self._find(key)
             rank[near[known]], place[near[known]] = self.rank[at[known]], at[known]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             size = np.diff(np.r_[starts, len(ids)])
@@ -108,13 +139,14 @@ class WordTable:
         self.clear()
 
     def clear(self):
-        self.place: dict = {}
+        self.place: dict = defaultdict(count().__next__)  # a word not seen yet gets the next number
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _add(self, words: list) -> None:
+    def _add(self, words: list, n: int) -> None:
+        """Learn ``words``, which have the numbers from ``n`` on."""
         ids, sizes = self.learn(words)
-        n, m = len(self.place), len(words)
+        m = len(words)
         while n + m > len(self.start):
             self.start, self.size = (np.r_[a, np.zeros_like(a)] for a in (self.start, self.size))
         while self.used + len(ids) > len(self.flat):
@@ -123,22 +155,24 @@ class WordTable:
         self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.place.update(zip(words, range(n, n + m), strict=True))
 
     def look_up(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a list of words, one after the other, and each word's number of ids.
 
         New words are learned together; if they are too many the others are forgotten first.
         """
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        gaps = np.flatnonzero(at < 0)
-        if len(gaps):
-            new = list(dict.fromkeys([words[k] for k in gaps.tolist()]))
-            if self.place and len(self.place) + len(new) > self.most:
+        n = len(self.place)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        new = len(self.place) - n
+        if new:
+            if n and n + new > self.most:
                 self.clear()
                 return self.look_up(words)
-            self._add(new)
-            at[gaps] = [self.place[words[k]] for k in gaps.tolist()]
+            try:
+                self._add(list(islice(reversed(self.place), new))[::-1], n)
+            except BaseException:
+                self.clear()  # numbers without ids must not stay
+                raise
         return spread(self.flat, self.start[at], self.size[at]), self.size[at]
 
 

@@ -1,13 +1,15 @@
 """Documents as pieces of token ids, for the operators that pack them.
 
 Ids are those of the tokenizers library for a word-level vocabulary file that drops white space. A
-worker cuts texts at white space, remembers the ids of words it has seen and asks the library for
-the rest. Words of plain Latin letters are lower-cased and cut by the file's own pattern first, so
-that the library's model sees each piece once; all other words go through the whole library.
+worker cuts texts at white space, remembers the ids of words it has seen and finds those of the rest.
+Words of plain Latin letters are lower-cased and cut by the file's own pattern first, so that each
+piece is merged once: short ones together (``bpe.Merges``), long ones by the library's model. All
+other words go through the whole library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from itertools import chain
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidegrid.llm.bpe import WordTable, byte_symbols
+from tidegrid.llm.bpe import Merges, WordTable, byte_symbols
 
 #: The pattern of the vocabulary file (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words handled together, and pieces a worker remembers.
 CHUNK_WORDS, CACHE_PIECES = 200_000, 500_000
+#: Bytes up to which pieces are merged together; rounds over a longer one would each pass all of it.
+SHORT_PIECE = 64
 #: Unicode white space; str.split() would also cut at U+001C to U+001F.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
@@ -36,6 +40,13 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.symbols = {b: ord(c) for b, c in byte_symbols().items()}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        vocab, end = spec["vocab"], spec["end_of_word_suffix"] or ""
+        self.merges = Merges(vocab, spec["merges"])
+        self.inner, self.last = (
+            np.array([vocab[c + x] for _, c in sorted(byte_symbols().items())], np.int64) for x in ("", end)
+        )
         # Latin letters that lower-case one by one and have no other composed form
         self.plain = re.compile("[\x00-įı-ɏ]+")
         self.words = re.compile(f"[^{_SPACE}]+")
@@ -45,12 +56,23 @@ class WordIds:
         self.table = WordTable(self._learn)
 
     def _learn_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        mapped = [
-            "" if p == "\n" else (p if p.isascii() else p.encode().decode("latin-1")).translate(self.symbols) for p in new
-        ]
-        ids = [[t.id for t in self.model.tokenize(p)] for p in mapped]
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32)
-        return flat, np.fromiter(map(len, ids), np.int64, len(ids))
+        raw = [b"" if p == "\n" else p.encode() for p in new]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        if (long := np.flatnonzero(size > SHORT_PIECE)).size:
+            for k in long.tolist():
+                raw[k] = b""
+        short = np.where(size > SHORT_PIECE, 0, size)
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        symbols, ends = self.inner[flat], np.cumsum(short)[short > 0] - 1
+        symbols[ends] = self.last[flat[ends]]
+        ids, size = self.merges.encode(symbols, short)
+        if not long.size:
+            return ids, size
+        parts = np.split(ids, np.cumsum(size)[:-1])
+        for k in long.tolist():
+            mapped = new[k].encode().decode("latin-1").translate(self.symbols)
+            parts[k] = np.array([t.id for t in self.model.tokenize(mapped)], np.uint32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new words: plain words in one go, a word with other characters by itself."""
