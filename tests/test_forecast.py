@@ -183,3 +183,21 @@ def test_walk_forward_per_hour_equals_one_hour_at_a_time(spark, series):
         np.testing.assert_allclose(both.predicted_price_x, both.predicted_price_y, rtol=1e-9)
     thin = to_pandas(forecast.walk_forward(df, "y", ["x"], 9, min_rows=1, day_tz="UTC", per_hour=True))
     assert (thin.predicted_price == 0).all()  # nine rows an hour are too few
+
+
+@pytest.mark.parametrize("name", ["g02_boosted_trees", "g05_feature_importance"])
+def test_boosted_queries_make_their_matrix_once(spark, series, monkeypatch, name):
+    from entries import forecasting
+
+    noise = lambda rng, n: rng.normal(0, 1, n)
+    df, pdf = series(60, **{c: noise for c in [forecasting.PRICE, *forecasting.MODEL_FEATURES]})
+    made = []
+    monkeypatch.setattr(forecasting, "_matrix", lambda *a: made.append(a) or df)
+    monkeypatch.setattr(forecasting, "_MODELS", {})
+    monkeypatch.setitem(forecast.GBT_PARAMS, "maxIter", 2)
+    got = forecasting.QUERIES[name](spark, "somewhere").toPandas()
+    assert len(made) == 1
+    if name == "g02_boosted_trees":  # the last 30 % of each zone
+        assert got.groupby("zone").size().tolist() == [18, 18] and got["predicted_price"].notna().all()
+    else:
+        assert len(got) == len(forecasting.MODEL_FEATURES) + 1
