@@ -102,3 +102,14 @@ def test_a_failed_lookup_leaves_no_words():
     with pytest.raises(ValueError):
         table.look_up(["a", "bad"])
     assert table.look_up(["a", "b", "a"])[0].tolist() == [0, 1, 0]
+
+
+def test_decoding_loads_no_encoder(path, monkeypatch):
+    monkeypatch.setattr(bpe, "_DECODERS", {})
+    monkeypatch.setattr(bpe, "Merges", None)
+    monkeypatch.setattr(bpe, "Tokenizer", None)
+    decoder, library = bpe.load_decoder(path), Tokenizer.from_file(path)
+    for text in TEXTS[:60]:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want = library.decode(ids, skip_special_tokens=False)
+        assert decoder.decode(np.array(ids, np.uint32)) == want

@@ -176,29 +176,45 @@ class WordTable:
         return spread(self.flat, self.start[at], self.size[at]), self.size[at]
 
 
-class ByteBPE:
+class TokenBytes:
+    """Decoder of a byte-level vocabulary file (tokenizer.json); holds nothing but tokens' bytes."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            self._read(json.load(f))
+
+    def _read(self, spec: dict) -> None:
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        back = {c: b for b, c in byte_symbols().items()}
+        texts = {i: bytes(back[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        texts |= {i: t.encode() for t, i in self.special.items()}
+        size = np.zeros(max(texts) + 1, np.int64)
+        for i, t in texts.items():
+            size[i] = len(t)
+        self.size, self.start = size, np.cumsum(size) - size
+        self.bytes = np.frombuffer(b"".join(texts.get(i, b"") for i in range(len(size))), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids, special tokens as their names; broken UTF-8 becomes U+FFFD."""
+        raw = spread(self.bytes, self.start[ids], self.size[ids])
+        return raw.tobytes().decode("utf-8", "replace")
+
+
+class ByteBPE(TokenBytes):
     """Encoder and decoder of a byte-level vocabulary file (tokenizer.json)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._read(spec)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         self.first = np.array([vocab[symbols[b]] for b in range(256)], np.int64)
         self.merges = Merges(vocab, spec["model"]["merges"])
         self.pattern = regex.compile(PATTERN)
         self.unassigned = unassigned()
         self.library = Tokenizer.from_file(path).pre_tokenizer
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         by_length = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, by_length))) if by_length else None
-        back = {c: b for b, c in symbols.items()}
-        texts = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
-        texts |= {i: t.encode() for t, i in self.special.items()}
-        size = np.zeros(max(texts) + 1, np.int64)
-        for i, t in texts.items():
-            size[i] = len(t)
-        self.size, self.start = size, np.cumsum(size) - size
-        self.bytes = np.frombuffer(b"".join(texts.get(i, b"") for i in range(len(size))), np.uint8)
         self.table = WordTable(self._learn)
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -259,13 +275,9 @@ class ByteBPE:
         look_up()
         return [np.concatenate([np.zeros(0, np.uint32), *x]) for x in out]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, special tokens as their names; broken UTF-8 becomes U+FFFD."""
-        raw = spread(self.bytes, self.start[ids], self.size[ids])
-        return raw.tobytes().decode("utf-8", "replace")
-
 
 _LOADED: dict[str, ByteBPE] = {}
+_DECODERS: dict[str, TokenBytes] = {}
 
 
 def load(path: str) -> ByteBPE:
@@ -275,6 +287,13 @@ def load(path: str) -> ByteBPE:
     return _LOADED[path]
 
 
+def load_decoder(path: str) -> TokenBytes:
+    """The worker's decoder for a vocabulary file; a worker that only decodes holds no encoder."""
+    if path not in _DECODERS:
+        _DECODERS[path] = TokenBytes(path)
+    return _DECODERS[path]
+
+
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers).
 
@@ -299,7 +318,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     import pyarrow as pa
 
     def run(batch):
-        bpe = load(path)
+        bpe = load_decoder(path)
         column = batch.column(batch.schema.get_field_index(ids))
         texts = [bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in column]
         return [pa.array(texts, pa.string())]
